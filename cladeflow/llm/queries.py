@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeflow.llm import best_fit_packing, exact_dedup, ngram_join, secret_scan
+from cladeflow.llm import best_fit_packing, decontamination, exact_dedup, language_id, ngram_join, secret_scan
 from cladeflow.runtime import Scratch, table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.of_documents(table(spark, sf_dir, "documents"), Scratch(spark, "op1")).drop("row_hash")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op6"))
+    return found.drop("row_hash")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op2")
     ledger = secret_scan.BlobLedger(spark, scratch.path("ledger"))
@@ -32,7 +41,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
+    "op6_decontamination": op6_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_best_fit_packing": op10_best_fit_packing,
