@@ -99,27 +99,28 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str],
 
 
 def text_beliefs(docs: DataFrame, names: list[str], model: np.ndarray) -> DataFrame:
-    """``docs`` with ``trigrams`` and ``ll`` (log-likelihood of each language) for ``text``."""
+    """``docs`` with ``trigrams``, ``letters`` and ``ll`` (log-likelihood of each language) for ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c != "text"]
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            n = np.zeros(batch.num_rows, np.int64)
+            n, letters = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             ll = np.zeros((batch.num_rows, len(names)))
             for base, rows, data, off in S.text_slices(batch.column("text")):
                 row, bins = trigrams(data, off)
                 n[base : base + rows] = np.bincount(row, minlength=rows)
+                letters[base : base + rows] = np.diff(np.concatenate([[0], np.cumsum(_LETTER[data] != 32)])[off])
                 for k in range(len(names)):
                     ll[base : base + rows, k] = np.bincount(row, model[bins, k], minlength=rows)
             with np.errstate(invalid="ignore", divide="ignore"):
                 ll *= (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
             flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(names), pa.int32()), pa.array(ll.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(n), flat], [*rest, "trigrams", "ll"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(n), pa.array(letters), flat], [*rest, "trigrams", "letters", "ll"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in rest)
-    return docs.mapInArrow(run, f"{schema}, trigrams bigint, ll array<double>")
+    return docs.mapInArrow(run, f"{schema}, trigrams bigint, letters bigint, ll array<double>")
 
 
 def _normalised(logs: list[Column]) -> tuple[Column, list[Column]]:
@@ -166,12 +167,12 @@ def identify(docs: DataFrame, scratch: Scratch, key: Column, text: Column, decla
     says = says.select(F.col("declared").alias("said"), *[F.log((F.col(f"d{k}") + STRENGTH * share + 1e-6) / F.lit(totals[k] + STRENGTH + 1e-6)).alias(f"say{k}") for k in size])
     joined = seen.join(priors, seen["host"].eqNullSafe(F.col("h")) & seen["suffix"].eqNullSafe(F.col("x")), "left").join(says, seen["declared"].eqNullSafe(F.col("said")), "left")
     logs = [F.col("ll")[k] + F.coalesce(F.col(f"prior{k}"), F.lit(float(np.log(whole[k])))) + F.coalesce(F.col(f"say{k}"), F.lit(0.0)) for k in size]
-    fused = joined.select("doc_id", "row_hash", "declared", "host", "trigrams", F.array(*logs).alias("logs"))
+    fused = joined.select("doc_id", "row_hash", "declared", "host", "letters", F.array(*logs).alias("logs"))
     top = F.array_max("logs")
     best = F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position("logs", top).cast("int"))
     posterior = 1 / F.aggregate("logs", F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    fused = fused.select("doc_id", "row_hash", "declared", "host", "trigrams", best.alias("best"), posterior.alias("posterior"))
-    lettered = F.col("trigrams") > 0
+    fused = fused.select("doc_id", "row_hash", "declared", "host", "letters", best.alias("best"), posterior.alias("posterior"))
+    lettered = F.col("letters") > 0
     return fused.select(
         "doc_id",
         "row_hash",

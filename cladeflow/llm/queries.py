@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeflow.llm import best_fit_packing, decontamination, exact_dedup, language_id, ngram_join, secret_scan
+from cladeflow.llm import best_fit_packing, decontamination, exact_dedup, language_id, ngram_join, secret_scan, suffix_dedup
 from cladeflow.runtime import Scratch, table
 
 
@@ -25,6 +25,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents"), ledger, scratch))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op8")
     index = exact_dedup.DigestIndex(spark, scratch.path("index"))
@@ -43,6 +47,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_decontamination": op6_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_join": op9_ngram_join,
