@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cladeflow.runtime import Scratch
+from cladeflow.runtime import Scratch, parts_for
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
@@ -22,7 +22,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     both = scratch.put(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = scratch.put(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc-labels")
+    parts = parts_for(both.count())
+    labels = scratch.put(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc-labels", parts)
     for _ in range(max_rounds):
         near = (
             both.join(labels.select(F.col("node").alias("b"), "label"), "b")
@@ -30,11 +31,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
             .agg(F.min("label").alias("near"))
         )
         step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        step = scratch.put(step, "cc-step")
+        step = scratch.put(step, "cc-step", parts)
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("root"))
         # the root's label may be smaller still: take it in the same round
         new = step.join(jump, "label").select("node", "was", F.least("label", "root").alias("label"))
-        new = scratch.put(new, "cc-labels")
+        new = scratch.put(new, "cc-labels", parts)
         moved = new.where("label <> was").limit(1).count()
         scratch.drop(step, labels)
         labels = new

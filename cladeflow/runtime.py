@@ -34,9 +34,14 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as table ``name`` and return the table as read back."""
+    def put(self, df: DataFrame, name: str, parts: int = 0) -> DataFrame:
+        """Write ``df`` as table ``name`` and return the table as read back.
+
+        ``parts`` joins partitions of a result known to be small (see ``parts_for``),
+        so that a short table is neither made by nor read in very many tasks.
+        """
         self._count += 1
+        df = df.coalesce(parts) if parts else df
         path = self.path(f"{self._count:03d}-{name}")
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -49,6 +54,11 @@ class Scratch:
             remove_path(self.spark, df._scratch_path)
 
 
+def parts_for(rows: int, each: int = 200_000) -> int:
+    """Partitions for ``rows`` narrow rows, about ``each`` in one; grows with the rows."""
+    return max(4, -(-rows // each))
+
+
 def filesystem(spark: SparkSession, path: str):
     """Hadoop file system and path object for ``path`` (any store Spark can open)."""
     jvm = spark.sparkContext._jvm
