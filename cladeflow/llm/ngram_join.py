@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cladeflow.llm import shingles as S
 from cladeflow.operators.components import connected_components
-from cladeflow.runtime import Scratch, release_shuffles
+from cladeflow.runtime import Scratch, parts_for, release_shuffles
 
 U = np.uint64
 #: Growth of a band's upper end; at least 1 / similarity, so that partners are at most one band apart.
@@ -293,29 +293,39 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80, id_col: s
     sets = scratch.put(node_sets(docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("i"))).select("want", "text"), k), "sets")
     release_shuffles(docs.sparkSession)
 
+    known = sets.count()
+    parts = parts_for(known, 20_000)  # rows with whole sets are wide
     star = star.withColumnsRenamed({"node": "a", "pivot": "b"})
     lone = sets.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    links = scratch.put(compare(star.groupBy("a").agg(F.min("b").alias("b")), sets, num), "links")
+    links = scratch.put(compare(star.groupBy("a").agg(F.min("b").alias("b")), sets, num), "links", parts)
     labels = connected_components(links.union(lone), scratch)
 
-    def across(pairs: DataFrame) -> DataFrame:
-        la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-        lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        return pairs.join(la, "a").join(lb, "b").where("la <> lb").select("a", "b")
-
-    more = scratch.put(compare(across(star.select("a", "b").distinct()), sets, num), "links")
-    links = links.union(more)
-    labels = connected_components(links.union(lone), scratch)
+    def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """Labels after ``links`` across components: a graph of components, not of nodes."""
+        if not links.limit(1).count():
+            return labels
+        la, lb = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+        roots = connected_components(links.join(la, "a").join(lb, "b").select("la", "lb"), scratch, "la", "lb")
+        moved = labels.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
+        return scratch.put(moved.select("node", F.coalesce("root", "label").alias("label")), "labels", parts)
+
+    la, lb = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    across = star.select("a", "b").distinct().join(la, "a").join(lb, "b").where("la <> lb").select("a", "b")
+    across = scratch.put(across, "across", parts)
+    if across.limit(1).count():
+        labels = joined(labels, scratch.put(compare(across, sets, num), "links", parts))
 
     member = star.select("tile", F.col("a").alias("node")).union(star.select("tile", F.col("b").alias("node"))).distinct()
     member = member.join(labels, "node")
     mixed = member.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("tile")
-    member = scratch.put(member.join(mixed, "tile", "left_semi").join(sets.select("node", "n", "bits"), "node"), "mixed")
-    left = member.select("tile", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-    right = member.select("tile", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-    rest = left.join(right, (left["tile"] == right["tile"]) & (F.col("la") < F.col("lb")) & may_link(num)).select("a", "b").distinct()
-    links = links.union(scratch.put(compare(rest, sets, num), "links"))
-    labels = connected_components(links.union(lone), scratch)
+    member = scratch.put(member.join(mixed, "tile", "left_semi").join(sets.select("node", "n", "bits"), "node"), "mixed", parts)
+    if member.limit(1).count():
+        left = member.select("tile", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+        right = member.select("tile", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+        rest = left.join(right, (left["tile"] == right["tile"]) & (F.col("la") < F.col("lb")) & may_link(num)).select("a", "b").distinct()
+        rest = scratch.put(rest, "rest", parts)
+        if rest.limit(1).count():
+            labels = joined(labels, scratch.put(compare(rest, sets, num), "links", parts))
 
     marked = nodes.join(labels, "node", "left").select("doc_id", "n", "node", F.coalesce("label", "node").alias("label"))
     marked = scratch.put(marked, "marked")
