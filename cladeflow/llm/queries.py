@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeflow.llm import best_fit_packing, decontamination, exact_dedup, html_extraction, language_id, license_scan, ngram_join, secret_scan, suffix_dedup
+from cladeflow.llm import best_fit_packing, decontamination, exact_dedup, html_extraction, language_id, license_scan, ngram_join, pii, secret_scan, suffix_dedup
 from cladeflow.runtime import Scratch, table
 
 
@@ -37,6 +37,10 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"), Scratch(spark, "op7"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.scan(table(spark, sf_dir, "documents"), Scratch(spark, "op3")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op8")
     index = exact_dedup.DigestIndex(spark, scratch.path("index"))
@@ -55,6 +59,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
+    "op3_pii": op3_pii,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
