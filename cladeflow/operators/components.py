@@ -31,13 +31,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
             .agg(F.min("label").alias("near"))
         )
         step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        step = scratch.put(step, "cc-step", parts)
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        # the root's label may be smaller still: take it in the same round
-        new = step.join(jump, "label").select("node", "was", F.least("label", "root").alias("label"))
-        new = scratch.put(new, "cc-labels", parts)
+        # the label's own label of the round before may be smaller still: paths halve as they are followed
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        new = scratch.put(step.join(jump, "label").select("node", "was", F.least("label", "root").alias("label")), "cc-labels", parts)
         moved = new.where("label <> was").limit(1).count()
-        scratch.drop(step, labels)
+        scratch.drop(labels)
         labels = new
         if not moved:
             scratch.drop(both)

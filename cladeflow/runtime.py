@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,22 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@contextmanager
+def shuffles_end_with_write(spark: SparkSession):
+    """Within: a query's shuffle files go as soon as its result is written.
+
+    Else they stay until the driver happens to collect its garbage, and every phase's
+    shuffles add up on the executors' disks.
+    """
+    key = "spark.sql.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """A run's own folder of Parquet tables in the shared root.
 
@@ -43,7 +60,8 @@ class Scratch:
         self._count += 1
         df = df.coalesce(parts) if parts else df
         path = self.path(f"{self._count:03d}-{name}")
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        with shuffles_end_with_write(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -54,7 +72,8 @@ class Scratch:
         path, n = self.path(f"{self._count:03d}-{name}"), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         table_name = f"scratch_{uuid.uuid4().hex}"
         out = df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key)
-        out.option("path", path).option("compression", "zstd").saveAsTable(table_name)
+        with shuffles_end_with_write(self.spark):
+            out.option("path", path).option("compression", "zstd").saveAsTable(table_name)
         return self.spark.table(table_name)
 
     def drop(self, *tables: DataFrame) -> None:
@@ -85,13 +104,5 @@ def remove_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of finished phases now rather than later."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
