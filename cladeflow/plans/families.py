@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cladeflow.functions import names as N
 from cladeflow.operators import families as O
+from cladeflow.operators.rounds import Options, default_kernels, from_models, search
 from cladeflow.plans.mapping import HITS_SQL, RAW_SQL, hits, members
 from cladeflow.runtime import table
 
@@ -138,7 +140,34 @@ def delta_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(line.alias("line"))
 
 
+def profile_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of the market segments, sought in all nations' and customers' names (own kernels: no SQL)."""
+    kernels = default_kernels()
+    segments = [r.s for r in table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("s")).distinct().orderBy("s").collect()]
+    models = [kernels.build(s, [(s, s)] * 4) for s in segments]
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey")).alias("name"), F.upper("n_name").alias("seq"))
+    customers = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), F.col("c_custkey")).alias("name"), F.upper(F.concat("c_mktsegment", "c_name")).alias("seq"))
+    both = nations.unionByName(customers)
+    found = search(from_models(spark, models, Options(recruit_evalue_cutoff=10.0)), both, both.count(), Options(recruit_evalue_cutoff=10.0), kernels)
+    return O.ranked(found, F.asc("evalue"), F.desc("score"), F.asc("target"), F.asc("env_from")).drop("seq")
+
+
+def representative_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that stand for the rest of their region, of nations' names as an alignment (own kernels: no SQL)."""
+    kernels = default_kernels()
+
+    def trim(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("n_nationkey")
+        kept, _ = kernels.representatives(list(zip(rows["n_name"], rows["aligned"], strict=True)), 0.5, 2000)
+        return pd.DataFrame({"region": key[0], "name": [n for n, _ in kept], "aligned": [r for _, r in kept]})
+
+    rows = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name", F.rpad("n_name", 20, "-").alias("aligned"))
+    return rows.groupBy("n_regionkey").applyInPandas(trim, "region bigint, name string, aligned string")
+
+
 QUERIES = {
+    "profile_search": profile_search,
+    "representative_trim": representative_trim,
     "split_member": split_member,
     "split_slice": split_slice,
     "encode_names": encode_names,
