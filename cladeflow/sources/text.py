@@ -37,7 +37,12 @@ def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def members(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """``family, protein, start, end`` of ``family<TAB>member`` rows; blank lines are skipped."""
-    rows = lines(spark, paths).where("line <> ''")
+    return parse_members(lines(spark, paths))
+
+
+def parse_members(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows and faults of member lines; works on streams as well, as no row depends on another."""
+    rows = rows.where("line <> ''")
     field = F.split("line", "\t", -1)
     rows = rows.select("line", F.size(field).alias("n"), F.get(field, F.lit(0)).alias("family"), F.get(field, F.lit(1)).alias("member"))
     bound = lambda k: N.member_bound(F.col("member"), k).try_cast("bigint")
