@@ -10,7 +10,9 @@ strings of ``span`` bytes have their anchors at equal places, so no repeat is mi
    is all that strings through the anchor can hold: ``span - SEED`` bytes before it and
    ``span`` after. Neighbours with equal context repeat the first of them wholly.
 2. Firsts with equal seeds but different contexts are where repeats begin and end. The
-   strings through these anchors are compared one by one, by hash.
+   strings through them are taken in blocks of neighbours: a block whose core (what all its
+   strings share) stands nowhere else is settled, one that equals an earlier block repeats
+   it, and only the strings of the few that are left are compared one by one, by hash.
 3. What repeats meets its document again, overlaps are merged and the rest is kept.
 
 Equal keys never straddle a boundary between buckets; within a bucket rows are read as a
@@ -33,12 +35,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from cladeflow.llm import shingles as S
 from cladeflow.llm.keys import keyed
-from cladeflow.runtime import Scratch, release_shuffles
+from cladeflow.runtime import Scratch
 
 U = np.uint64
 SPAN, SEED = 100, 32
 #: Documents sampled for the splitters, at most about so many; buckets per shuffle partition.
 SAMPLE_DOCS, BUCKETS = 2000, 4
+#: Strings in a block of neighbours.
+BLOCK = 9
 #: Leading bytes in the sort key; the seed's hash fills the rest of its 64 bits.
 LEAD = 3
 
@@ -59,7 +63,7 @@ def _sliding(x: np.ndarray, w: int, fold: np.ufunc, fill: U) -> np.ndarray:
 class Slice:
     """Seed hashes, window minima and anchors of a slice of documents."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, span: int):
+    def __init__(self, data: np.ndarray, off: np.ndarray, span: int, anchored: bool = True):
         self.data, self.off, self.span = data, off, span
         self.windows = span - SEED + 1
         n = len(data)
@@ -68,7 +72,7 @@ class Slice:
             self.sums = np.zeros(n + 1, U)
             np.cumsum(S._TABLE[data] * up[:-1], out=self.sums[1:])
         self.ok = n >= span
-        if not self.ok:
+        if not self.ok or not anchored:
             self.anchors = np.zeros(0, np.int64)
             return
         at = np.arange(n - SEED + 1)
@@ -106,13 +110,28 @@ class Slice:
             ctx = S.mix(self.hashes(s, e) + ((a - s) * 256 + (e - a)).astype(U))
         return ctx.view(np.int64), row, s - self.off[row], e - self.off[row]
 
-    def strings(self, places: np.ndarray) -> np.ndarray:
-        """Starts of the strings whose minimum is at one of the anchors ``places``."""
-        p = (places[:, None] - np.arange(self.windows)[None, :]).ravel()
-        v = np.repeat(self.seed[places], self.windows)
-        ok = (p >= 0) & (p < len(self.low))
-        p, v = p[ok], v[ok]
-        return np.unique(p[self.low[p] == v])
+    def blocks(self, places: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Core hash, hull hash, row, start and end of the blocks of strings through ``places``.
+
+        A block holds the strings that start ``j * BLOCK .. (j + 1) * BLOCK - 1`` bytes before
+        the anchor, as far as they lie in the document; only blocks of which some string has
+        its minimum at the anchor are needed. The core is what all of them share, wherever
+        they are cut off, the hull all that they cover.
+        """
+        near = places[:, None] - np.arange(self.windows)[None, :]
+        own = (near >= 0) & (near < len(self.low))
+        own &= self.low[np.clip(near, 0, len(self.low) - 1)] == self.seed[places][:, None]
+        count = -(-self.windows // BLOCK)
+        own = np.pad(own, ((0, 0), (0, count * BLOCK - self.windows))).reshape(len(places), count, BLOCK).any(axis=2)
+        i, j = np.nonzero(own)
+        a, row = places[i], self.row[places[i]]
+        first, last = j * BLOCK, np.minimum((j + 1) * BLOCK, self.windows) - 1
+        lo, hi = np.maximum(first, a + self.span - self.off[row + 1]), np.minimum(last, a - self.off[row])
+        s, e = a - hi, a - lo + self.span
+        with np.errstate(over="ignore"):
+            core = S.mix(self.hashes(a - first, a - last + self.span) + j.astype(U))
+            hull = S.mix(self.hashes(s, e) + ((lo << 8) + hi).astype(U))
+        return core.view(np.int64), hull.view(np.int64), row, s - self.off[row], e - self.off[row]
 
 
 def _settle(key, ctx, rid, s, e):
@@ -160,10 +179,14 @@ def _emit(parts: list[tuple], splitters: np.ndarray | None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(done)], _ROW_NAMES)
 
 
-def _slices(batch: pa.RecordBatch, span: int):
+def _slices(batch: pa.RecordBatch, span: int, anchored: bool = True):
     rid = batch.column("rid").to_numpy(zero_copy_only=False)
     for base, rows, data, off in S.text_slices(batch.column("text")):
-        yield base, rid[base : base + rows], Slice(data, off, span)
+        yield base, rid[base : base + rows], Slice(data, off, span, anchored)
+
+
+def _pairs(value: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    return value.values.field(0).to_numpy(), value.values.field(1).to_numpy()
 
 
 def anchor_rows(docs: DataFrame, span: int, splitters: np.ndarray) -> DataFrame:
@@ -236,12 +259,11 @@ def resolve(rows: DataFrame, by_context: bool) -> DataFrame:
             cols = [np.concatenate(x) for x in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "rid", "s", "e"])
 
-    dealt = rows.repartition("bucket") if not by_context else rows.repartition(BUCKETS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket")
-    return dealt.sortWithinPartitions("key", "ctx", "rid", "s").mapInArrow(run, FOUND)
+    return rows.repartition("bucket").sortWithinPartitions("key", "ctx", "rid", "s").mapInArrow(run, FOUND)
 
 
-def string_rows(edges: DataFrame, span: int) -> DataFrame:
-    """Strings through the anchors ``places`` (context starts and ends) of each document."""
+def block_rows(edges: DataFrame, span: int) -> DataFrame:
+    """Blocks of strings through the anchors ``places`` (context starts and ends) of each document."""
 
     def run(batches):
         for batch in batches:
@@ -250,19 +272,38 @@ def string_rows(edges: DataFrame, span: int) -> DataFrame:
             for base, rid, x in _slices(batch, span):
                 if not len(x.anchors):
                     continue
-                ctx, row, s, e = x.contexts()
+                _, row, s, e = x.contexts()
                 mine = (row << 40) + s * 1024 + (e - s)
                 want = []
                 for i in range(len(rid)):
-                    pairs = places[base + i].values
-                    ws, we = pairs.field(0).to_numpy(), pairs.field(1).to_numpy()
+                    ws, we = _pairs(places[base + i])
                     want.append((np.int64(i) << 40) + ws * 1024 + (we - ws))
-                hit = x.anchors[np.isin(mine, np.concatenate(want))]
-                p = x.strings(hit)
-                r = x.row[p]
-                key = x.hashes(p, p + span).view(np.int64)
-                at = p - x.off[r]
-                parts.append((key, np.zeros(len(p), np.int64), rid[r], at, at + span))
+                core, hull, row, s, e = x.blocks(x.anchors[np.isin(mine, np.concatenate(want))])
+                parts.append((core, hull, rid[row], s, e))
+            if parts:
+                yield _emit(parts, None)
+
+    return edges.mapInArrow(run, ROWS)
+
+
+def string_rows(edges: DataFrame, span: int) -> DataFrame:
+    """All strings inside the blocks ``places`` of each document."""
+
+    def run(batches):
+        for batch in batches:
+            parts = []
+            places = batch.column("places")
+            for base, rid, x in _slices(batch, span, anchored=False):
+                starts, rows = [], []
+                for i in range(len(rid)):
+                    s, e = _pairs(places[base + i])
+                    n = e - s - span + 1
+                    p = np.unique(np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                    starts.append(p + x.off[i])
+                    rows.append(np.full(len(p), i))
+                p, row = np.concatenate(starts), np.concatenate(rows)
+                at = p - x.off[row]
+                parts.append((x.hashes(p, p + span).view(np.int64), np.zeros(len(p), np.int64), rid[row], at, at + span))
             if parts:
                 yield _emit(parts, None)
 
@@ -284,8 +325,7 @@ def cut_out(joined: DataFrame) -> DataFrame:
                     text = data[off[i] : off[i + 1]]
                     removed = runs = 0
                     if spans[base + i].is_valid:
-                        pairs = spans[base + i].values
-                        s, e = pairs.field(0).to_numpy(), pairs.field(1).to_numpy()
+                        s, e = _pairs(spans[base + i])
                         _, s, e = _merged(np.zeros(len(s), np.int64), s, e)
                         keep = np.ones(len(text), bool)
                         for a, b in zip(s, e, strict=True):
@@ -308,12 +348,15 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, span: int = SPAN) -> DataF
     spark = docs.sparkSession
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = scratch.put(resolve(anchor_rows(docs, span, sample_splitters(docs, span, buckets)), True), "anchors")
-    release_shuffles(spark)
     pair = F.struct("s", "e")
-    edges = found.where("kind = 1").groupBy("rid").agg(F.collect_list(pair).alias("places"))
-    strings = scratch.put(resolve(string_rows(docs.select("rid", "text").join(edges, "rid"), span), False), "strings")
-    release_shuffles(spark)
-    covers = found.where("kind = 0").unionByName(strings)
+
+    def edges(rows: DataFrame) -> DataFrame:
+        places = rows.where("kind = 1").groupBy("rid").agg(F.collect_list(pair).alias("places"))  # of one document
+        return docs.select("rid", "text").join(places, "rid")
+
+    blocks = scratch.put(resolve(block_rows(edges(found), span), True), "blocks")
+    strings = scratch.put(resolve(string_rows(edges(blocks), span), False), "strings")
+    covers = found.unionByName(blocks).where("kind = 0").unionByName(strings)
     return covers.groupBy("rid").agg(F.collect_list(pair).alias("spans"))
 
 
