@@ -37,8 +37,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cladeflow.llm import shingles as S
+from cladeflow.llm.keys import keyed
 from cladeflow.operators.components import connected_components
-from cladeflow.runtime import Scratch, parts_for, release_shuffles
+from cladeflow.runtime import Scratch, parts_for
 
 U = np.uint64
 #: Growth of a band's upper end; at least 1 / similarity, so that partners are at most one band apart.
@@ -132,16 +133,18 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray, np.n
 
 
 def document_nodes(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, n, node`` of every row; node is null where the set is empty."""
+    """``rid, doc_id, n, node`` of every row; node is null where the set is empty."""
 
     def run(batches):
         for batch in batches:
             parts = [(n, node) for _, _, _, n, node in _sets(batch, k)]
             n = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.int64)
             node = np.concatenate([x for _, x in parts]) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, mask=n == 0)], ["doc_id", "n", "node"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, mask=n == 0)], ["rid", "doc_id", "n", "node"]
+            )
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, node bigint")
+    return docs.mapInArrow(run, "rid bigint, doc_id bigint, n bigint, node bigint")
 
 
 def tile_rows(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
@@ -235,7 +238,7 @@ def node_sets(texts: DataFrame, k: int) -> DataFrame:
                     [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.list_(pa.int64())), pa.array(d, pa.binary())], ["node", "n", "bits", "members"]
                 )
 
-    return texts.mapInArrow(run, "node bigint, n bigint, bits array<bigint>, members binary").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node bigint, n bigint, bits array<bigint>, members binary")
 
 
 def may_link(num: int) -> Column:
@@ -265,7 +268,7 @@ def compare(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
     brief = sets.select("node", "n", "bits")
-    close = (
+    close = (  # the sets are bucketed by node: only the pairs are shuffled
         pairs.join(brief.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
         .join(brief.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
         .where(may_link(num))
@@ -283,15 +286,13 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80, id_col: s
     Two documents link when ``100 * intersection >= num * union`` of their ``k``-word shingle sets.
     """
     bands = Bands(num)
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = keyed(docs, scratch, id_col, text_col)
     nodes = scratch.put(document_nodes(docs, k), "nodes")
     star = scratch.put(stars(tile_rows(docs, k, bands)), "stars")
-    release_shuffles(docs.sparkSession)
     involved = star.select("node").union(star.select(F.col("pivot").alias("node"))).distinct()
     # one text of each node that has a tile in common with another
-    wanted = nodes.join(involved, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("i")).withColumnRenamed("node", "want")
-    sets = scratch.put(node_sets(docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("i"))).select("want", "text"), k), "sets")
-    release_shuffles(docs.sparkSession)
+    wanted = nodes.join(involved, "node", "left_semi").groupBy("node").agg(F.min("rid").alias("rid")).withColumnRenamed("node", "want")
+    sets = scratch.put_bucketed(node_sets(docs.join(wanted, "rid").select("want", "text"), k), "sets", "node")
 
     known = sets.count()
     parts = parts_for(known, 20_000)  # rows with whole sets are wide
