@@ -30,7 +30,7 @@ def merge_intervals(intervals: DataFrame) -> DataFrame:
     One shuffle by (protein, family): the running maximum, the island number and the
     final aggregation all use that partitioning.
     """
-    rows = intervals.select("protein", "family", "start", "end").distinct()
+    rows = intervals.select("protein", "family", "start", "end")  # repeats merge by themselves
     order = Window.partitionBy("protein", "family").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(before.isNull() | (F.col("start") > before + 1), 1).otherwise(0)

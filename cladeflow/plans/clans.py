@@ -12,12 +12,16 @@ from cladeflow.runtime import Scratch
 
 
 def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.resolve_lengths(members(spark, sf_dir), lengths(spark, sf_dir)).distinct()
+    return I.resolve_lengths(members(spark, sf_dir), lengths(spark, sf_dir))
+
+
+def _islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.merge_intervals(_intervals(spark, sf_dir))
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged intervals, written once: every similarity operator reads them."""
-    return Scratch(spark, "merged").put(I.merge_intervals(_intervals(spark, sf_dir)), "merged")
+    return Scratch(spark, "merged").put(_islands(spark, sf_dir), "merged")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,12 +41,12 @@ def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "member_intervals": _intervals,
+    "member_intervals": lambda s, d: _intervals(s, d).distinct(),
     "whole_protein_lengths": lambda s, d: I.resolve_lengths(members(s, d).where("start is null"), lengths(s, d)),
     "missing_lengths": missing,
-    "merged_intervals": lambda s, d: I.merge_intervals(_intervals(s, d)),
-    "family_totals": lambda s, d: I.family_totals(I.merge_intervals(_intervals(s, d))),
-    "protein_fanout": lambda s, d: I.protein_fanout(I.merge_intervals(_intervals(s, d))),
+    "merged_intervals": _islands,
+    "family_totals": lambda s, d: I.family_totals(_islands(s, d)),
+    "protein_fanout": lambda s, d: I.protein_fanout(_islands(s, d)),
     "shared_proteins": lambda s, d: I.shared_proteins(_merged(s, d)),
     "residue_overlap": lambda s, d: I.residue_overlap(_merged(s, d)),
     "similarity_edges": lambda s, d: S.edges(_pairs(s, d)),
