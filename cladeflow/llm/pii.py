@@ -24,10 +24,11 @@ from cladeflow.runtime import Scratch
 BASE = ("email", "ip", "card", "phone")
 
 # The base patterns of the contract. Runs are possessive and start where a run
-# starts (or where the last match ended), which finds the same matches in linear time.
+# starts (or where the last match ended), which finds the same matches in linear time; runs of
+# fewer digits than a card has fail whole, so they are not matched at all.
 EMAIL = "(?:\\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++"
 IP = "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++"
-CARD = "[0-9](?:[\\x20-]?[0-9])++"
+CARD = "[0-9](?:[\\x20-]?[0-9]){11,}+"
 PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
 
 # Looser formats, and the words that go with them.
