@@ -16,6 +16,7 @@ from cladeflow.operators.kernels import Kernels, Model
 from cladeflow.runtime import Scratch
 from cladeflow.sources import sinks, text as T
 
+# Headers of the output files.
 METADATA = "family_id,converged,seed_msa_size,full_msa_size,rep_protein,rep_region,rep_length,consensus_length,rep_sequence,consensus_sequence"
 DELTA = "family_id,model_length_before,model_length_after,round1_recruits,full_msa_size,retention,rounds_run,converged,outcome"
 CRASH = "internal error"

@@ -14,6 +14,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
+# Headers of the output files.
 EDGES_HEADER = "family_1,family_2,shared_proteins,protein_jaccard,residue_jaccard,residue_containment"
 CLANS_HEADER = "clan_id,family_id,is_representative"
 
