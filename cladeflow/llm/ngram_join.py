@@ -9,7 +9,7 @@
    make large tiles. Spare ranges make up for empty ones (see ``Bands``).
 3. Tiles are combined before they are shuffled: within a batch, a tile's nodes hang
    on the smallest of them, and only that one travels under the tile's key.
-4. In a tile, a pair is compared by 1,024-bit hashed bitmaps first: each bit set only
+4. In a tile, a pair is compared by 4,096-bit hashed bitmaps first: each bit set only
    in one bitmap is a member that the other set lacks, which bounds the overlap from
    above; what remains is decided by intersecting the sorted arrays.
 5. First each node meets the smallest node of its tiles, then the smallest of each
@@ -45,7 +45,7 @@ U = np.uint64
 #: Growth of a band's upper end; at least 1 / similarity, so that partners are at most one band apart.
 RATIO = 1.4
 #: Longwords of a bitmap signature.
-LONGS = 16
+LONGS = 64
 #: Nodes of a batch that make a tile be combined before the shuffle.
 COMBINE = 4
 
@@ -219,7 +219,7 @@ def stars(tiles: DataFrame) -> DataFrame:
 
 
 def node_sets(texts: DataFrame, k: int) -> DataFrame:
-    """``want, text`` -> ``node, n, bits, members`` of the rows whose set is the one wanted."""
+    """``want, text`` -> ``node, n, pop, bits, members`` (pop: bits set) of the rows whose set is the one wanted."""
 
     def run(batches):
         for batch in batches:
@@ -231,23 +231,23 @@ def node_sets(texts: DataFrame, k: int) -> DataFrame:
                     m = h[ends[i] - n[i] : ends[i]]
                     bits = np.zeros(LONGS * 64, np.uint8)
                     bits[(m % U(LONGS * 64)).astype(np.int64)] = 1
-                    out.append((int(node[i]), int(n[i]), np.packbits(bits).view(np.int64).tolist(), m.tobytes()))
+                    out.append((int(node[i]), int(n[i]), int(bits.sum()), np.packbits(bits).view(np.int64).tolist(), m.tobytes()))
             if out:
-                a, b, c, d = zip(*out, strict=True)
+                a, b, c, d, e = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.list_(pa.int64())), pa.array(d, pa.binary())], ["node", "n", "bits", "members"]
+                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.list_(pa.int64())), pa.array(e, pa.binary())],
+                    ["node", "n", "pop", "bits", "members"],
                 )
 
-    return texts.mapInArrow(run, "node bigint, n bigint, bits array<bigint>, members binary")
+    return texts.mapInArrow(run, "node bigint, n bigint, pop bigint, bits array<bigint>, members binary")
 
 
 def may_link(num: int) -> Column:
     """Upper bound of the overlap from bit counts: enough for a link?"""
 
-    def lacking(x: str, y: str) -> Column:
-        return F.expr(f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p & ~q)), 0, (s, c) -> s + c)")
-
-    best = F.least(F.col("na") - lacking("ba", "bb"), F.col("nb") - lacking("bb", "ba"))
+    common = F.expr("aggregate(zip_with(ba, bb, (p, q) -> bit_count(p & q)), 0, (s, c) -> s + c)")
+    # a bit that only one bitmap has is a member that the other set lacks
+    best = common + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * num)
     return fits & (best * (100 + num) >= (F.col("na") + F.col("nb")) * num)
 
@@ -267,10 +267,10 @@ def compare(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    brief = sets.select("node", "n", "bits")
+    brief = sets.select("node", "n", "pop", "bits")
     close = (  # the sets are bucketed by node: only the pairs are shuffled
-        pairs.join(brief.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
-        .join(brief.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
+        pairs.join(brief.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("pop").alias("pa"), F.col("bits").alias("ba")), "a")
+        .join(brief.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pop").alias("pb"), F.col("bits").alias("bb")), "b")
         .where(may_link(num))
         .select("a", "b")
     )
@@ -319,10 +319,10 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80, id_col: s
     member = star.select("tile", F.col("a").alias("node")).union(star.select("tile", F.col("b").alias("node"))).distinct()
     member = member.join(labels, "node")
     mixed = member.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("tile")
-    member = scratch.put(member.join(mixed, "tile", "left_semi").join(sets.select("node", "n", "bits"), "node"), "mixed", parts)
+    member = scratch.put(member.join(mixed, "tile", "left_semi").join(sets.select("node", "n", "pop", "bits"), "node"), "mixed", parts)
     if member.limit(1).count():
-        left = member.select("tile", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-        right = member.select("tile", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+        left = member.select("tile", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("pop").alias("pa"), F.col("bits").alias("ba"))
+        right = member.select("tile", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("pop").alias("pb"), F.col("bits").alias("bb"))
         rest = left.join(right, (left["tile"] == right["tile"]) & (F.col("la") < F.col("lb")) & may_link(num)).select("a", "b").distinct()
         rest = scratch.put(rest, "rest", parts)
         if rest.limit(1).count():
