@@ -133,7 +133,7 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray, np.n
 
 
 def document_nodes(docs: DataFrame, k: int) -> DataFrame:
-    """``rid, doc_id, n, node`` of every row; node is null where the set is empty."""
+    """``rid, doc_id, text_hash, n, node`` of every row; node is null where the set is empty."""
 
     def run(batches):
         for batch in batches:
@@ -141,10 +141,12 @@ def document_nodes(docs: DataFrame, k: int) -> DataFrame:
             n = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.int64)
             node = np.concatenate([x for _, x in parts]) if parts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, mask=n == 0)], ["rid", "doc_id", "n", "node"]
+                [*(batch.column(c) for c in ("rid", "doc_id", "text_hash")), pa.array(n, pa.int64()), pa.array(node, mask=n == 0)],
+                ["rid", "doc_id", "text_hash", "n", "node"],
             )
 
-    return docs.mapInArrow(run, "rid bigint, doc_id bigint, n bigint, node bigint")
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    return hashed.mapInArrow(run, "rid bigint, doc_id bigint, text_hash bigint, n bigint, node bigint")
 
 
 def tile_rows(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
@@ -281,8 +283,9 @@ def compare(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
 
 
 def join(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, node``.
+    """One row per input row: ``doc_id, n_shingles, component_id, node, text_hash, head``.
 
+    head marks the row of each class with the smallest doc_id (then text hash), and rows with empty sets.
     Two documents link when ``100 * intersection >= num * union`` of their ``k``-word shingle sets.
     """
     bands = Bands(num)
@@ -328,20 +331,22 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80, id_col: s
         if rest.limit(1).count():
             labels = joined(labels, scratch.put(compare(rest, sets, num), "links", parts))
 
-    marked = nodes.join(labels, "node", "left").select("doc_id", "n", "node", F.coalesce("label", "node").alias("label"))
+    marked = nodes.join(labels, "node", "left").select("doc_id", "text_hash", "n", "node", F.coalesce("label", "node").alias("label"))
     marked = scratch.put(marked, "marked")
-    smallest = marked.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("smallest"))
-    out = marked.join(smallest, "label", "left")
-    component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "node")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = marked.where("label is not null").groupBy("label").agg(F.min(order).alias("first"))
+    out = marked.join(first, "label", "left")
+    component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    head = F.col("label").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "node", "text_hash", head.alias("head"))
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row with the smallest doc_id of each class, and all rows with empty sets."""
-    found = join(docs, scratch, k, num, id_col, text_col)
-    lost = found.where("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("doc_id").alias("__lost"))
-    lost = scratch.put(lost.distinct(), "lost")
-    out = docs.join(lost, F.col(id_col).cast("bigint").eqNullSafe(F.col("__lost")), "left_anti")
+    found = join(docs, scratch, k, num, id_col, text_col).where("not head")
+    lost = scratch.put(found.select(F.col("doc_id").alias("__lost"), F.col("text_hash").alias("__hash")).distinct(), "lost")
+    own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    out = docs.join(lost, F.col(id_col).cast("bigint").eqNullSafe(F.col("__lost")) & (own == F.col("__hash")), "left_anti")
     if docs.groupBy(id_col).count().where("count > 1").limit(1).count():
         # rows that share an id: one of those with equal texts
         out = out.dropDuplicates([id_col, text_col])

@@ -114,6 +114,14 @@ def test_join_awkward(spark, empty):
     assert sorted((r.doc_id for r in kept.collect() if shingle_set(r.text, 4)), key=str) == sorted({c for _, n, c in want if n}, key=str)
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, base), (7, "quite another text of its own"), (7, base + " end"), (9, "x y z " + base[::-1]), (9, base[::-1] + " x y z")]
+    kept = sorted((r.doc_id, r.text) for r in J.keep_one(documents(spark, rows), Scratch(spark, "t")).collect())
+    assert [d for d, _ in kept] == [3, 7] + [9] * (2 if len(shingle_set(base[::-1], 5)) < 30 else 1)
+    assert kept[1][1] == "quite another text of its own"
+
+
 def test_packing_matches_the_tokenizer(spark, sf):
     from tokenizers import Tokenizer
 
