@@ -46,6 +46,8 @@ U = np.uint64
 RATIO = 1.4
 #: Longwords of a bitmap signature.
 LONGS = 64
+#: Nodes of a tile that are compared in memory at once; larger tiles are joined, which Spark can split.
+BLOCK = 2048
 #: Nodes of a batch that make a tile be combined before the shuffle.
 COMBINE = 4
 
@@ -254,6 +256,57 @@ def may_link(num: int) -> Column:
     return fits & (best * (100 + num) >= (F.col("na") + F.col("nb")) * num)
 
 
+def tile_pairs(member: DataFrame, num: int) -> DataFrame:
+    """``a, b`` of nodes in one tile, in different components, that bit counts can't keep apart.
+
+    ``member(tile, label, node, n, pop, bits)`` of tiles of up to ``BLOCK`` nodes. Rows come
+    sorted by tile; one tile is held at a time.
+    """
+
+    def close(label, node, n, pop, bits) -> Iterator[np.ndarray]:
+        for i in range(len(node) - 1):
+            other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+            m = n[other]
+            other = other[(np.minimum(m, n[i]) * 100 >= np.maximum(m, n[i]) * num)]
+            if len(other):
+                common = np.bitwise_count(bits[other] & bits[i]).sum(axis=1, dtype=np.int64)
+                best = common + np.minimum(n[i] - pop[i], n[other] - pop[other])
+                other = other[best * (100 + num) >= (n[i] + n[other]) * num]
+                if len(other):
+                    yield np.stack([np.minimum(node[i], node[other]), np.maximum(node[i], node[other])], axis=1)
+
+    def run(batches):
+        held, last = [], None
+        names = ("tile", "label", "node", "n", "pop")
+
+        def settle(parts):
+            tile, label, node, n, pop, bits = (np.concatenate(x) for x in zip(*parts, strict=True))
+            cuts = np.concatenate([[0], np.flatnonzero(tile[1:] != tile[:-1]) + 1, [len(tile)]])
+            found = [p for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1 for p in close(label[a:b], node[a:b], n[a:b], pop[a:b], bits[a:b])]
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            cols = [batch.column(c).to_numpy() for c in names]
+            bits = batch.column("bits").flatten().to_numpy().view(U).reshape(-1, LONGS)
+            if not len(cols[0]):
+                continue
+            first = int(np.searchsorted(cols[0], cols[0][-1]))  # the last tile may go on in the next batch
+            head, tail = [c[:first] for c in (*cols, bits)], [c[first:] for c in (*cols, bits)]
+            if first:
+                yield settle([*held, head])
+                held = []
+            elif last is not None and cols[0][0] != last:
+                yield settle(held)
+                held = []
+            held.append(tail)
+            last = cols[0][-1]
+        if held:
+            yield settle(held)
+
+    return member.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a bigint, b bigint")
+
+
 def compare(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
     """The pairs ``a, b`` that link, by exact intersection of their sorted arrays."""
 
@@ -321,12 +374,15 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80, id_col: s
 
     member = star.select("tile", F.col("a").alias("node")).union(star.select("tile", F.col("b").alias("node"))).distinct()
     member = member.join(labels, "node")
-    mixed = member.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("tile")
-    member = scratch.put(member.join(mixed, "tile", "left_semi").join(sets.select("node", "n", "pop", "bits"), "node"), "mixed", parts)
+    mixed = member.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    member = member.join(mixed.select("tile", "size"), "tile").join(sets.select("node", "n", "pop", "bits"), "node")
+    member = scratch.put(member, "mixed", parts)
     if member.limit(1).count():
-        left = member.select("tile", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("pop").alias("pa"), F.col("bits").alias("ba"))
-        right = member.select("tile", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("pop").alias("pb"), F.col("bits").alias("bb"))
-        rest = left.join(right, (left["tile"] == right["tile"]) & (F.col("la") < F.col("lb")) & may_link(num)).select("a", "b").distinct()
+        small, large = member.where(F.col("size") <= BLOCK), member.where(F.col("size") > BLOCK)
+        left = large.select("tile", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("pop").alias("pa"), F.col("bits").alias("ba"))
+        right = large.select("tile", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("pop").alias("pb"), F.col("bits").alias("bb"))
+        rest = left.join(right, (left["tile"] == right["tile"]) & (F.col("la") < F.col("lb")) & may_link(num)).select("a", "b")
+        rest = rest.union(tile_pairs(small, num)).distinct()
         rest = scratch.put(rest, "rest", parts)
         if rest.limit(1).count():
             labels = joined(labels, scratch.put(compare(rest, sets, num), "links", parts))

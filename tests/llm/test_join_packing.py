@@ -72,7 +72,9 @@ def edited(rng, words, edits):
     return words
 
 
-def test_join_chains_and_hubs(spark):
+@pytest.mark.parametrize("block", [2048, 2])
+def test_join_chains_and_hubs(spark, monkeypatch, block):
+    monkeypatch.setattr(J, "BLOCK", block)
     rng = random.Random(5)
     rows = []
     for base in range(12):
