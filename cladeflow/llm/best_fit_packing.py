@@ -32,7 +32,7 @@ from cladeflow.runtime import Scratch
 #: Tokens in a sequence, and the id that ends every document.
 SIZE, END = 2048, 0
 #: Words longer than this (characters) are not remembered; entries kept before the memory is emptied.
-MEMO_BYTES, MEMO_ENTRIES = 64, 400_000
+MEMO_BYTES, MEMO_ENTRIES = 64, 250_000
 #: Rows of a salted part when ranks are counted.
 PART_ROWS = 200_000
 

@@ -48,6 +48,8 @@ RATIO = 1.4
 LONGS = 64
 #: Nodes of a tile that are compared in memory at once; larger tiles are joined, which Spark can split.
 BLOCK = 2048
+#: Tile rows that are sorted and combined at once.
+ROWS = 400_000
 #: Nodes of a batch that make a tile be combined before the shuffle.
 COMBINE = 4
 
@@ -154,16 +156,22 @@ def document_nodes(docs: DataFrame, k: int) -> DataFrame:
 def tile_rows(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
     """``key, node, pivot, tile``: nodes under their tile's key, or hung on a pivot already."""
 
-    def run(batches):
+    def parts(batches):
+        tiles, nodes, held = [], [], 0
         for batch in batches:
-            tiles, nodes = [], []
             for _, row, h, n, node in _sets(batch, k):
                 r, keys = tile_keys(row, h, n, bands)
                 tiles.append(keys.view(np.int64))
                 nodes.append(node[r])
-            if not tiles:
-                continue
-            tile, node = np.concatenate(tiles), np.concatenate(nodes)
+                held += len(r)
+                if held >= ROWS:
+                    yield np.concatenate(tiles), np.concatenate(nodes)
+                    tiles, nodes, held = [], [], 0
+        if held:
+            yield np.concatenate(tiles), np.concatenate(nodes)
+
+    def run(batches):
+        for tile, node in parts(batches):
             order = np.lexsort((node, tile))
             tile, node = tile[order], node[order]
             keep = np.ones(len(tile), bool)

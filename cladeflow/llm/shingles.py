@@ -2,7 +2,7 @@
 
 Texts are read from the Arrow buffers as UTF-8 bytes; a word is a maximal run of
 bytes other than ``\\x20`` and ``\\x09-\\x0D``, after A-Z are lower-cased. Word and
-shingle fingerprints are 64 bits wide, computed with numpy over slices of a few MB.
+shingle fingerprints are 64 bits wide, computed with numpy over slices of half a MB.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text handled at once; longer single texts are a slice of their own.
-SLICE = 2 << 20
+SLICE = 512 << 10
 
 _rng = np.random.default_rng(20240229)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
