@@ -3,10 +3,11 @@
 The base patterns are matched and validated as the contract says; their spans stay. Looser
 generators propose further spans, which may overlap those and each other. Gradient-boosted
 trees score each proposal from its format and the words before it; they are fitted on a
-bounded sample of proposals, labelled by what validation knows (validated base spans and
-formats named by their context against what fails validation). Per kind, the threshold is
-the lowest at which held-out precision holds; what scores above it and overlaps no base
-span is added.
+bounded sample of proposals of every kind and label, labelled by what validation knows
+(validated base spans and formats named by their context against what fails validation).
+The proposals fall into two halves, and each is scored by trees fitted on the other, so all
+scores are held-out ones. Per kind, the threshold is the lowest at which precision over all
+proposals of the table holds; what scores above it and overlaps no base span is added.
 
 Defined cases: null text is empty text; rows may repeat or lack a doc_id, each gets its
 own result row; with too few proposals of either label nothing is added; an empty table
@@ -43,6 +44,8 @@ CONTEXTS = {
 #: Code points before a proposal that make its context; proposals the trees are fitted on, at most
 #: about so many, and at least so many of either label; trees, their depth; precision to hold.
 WINDOW, SAMPLE, LEAST, TREES, DEPTH, PRECISION = 32, 20_000, 20, 10, 3, 0.95
+#: Hash values that draw the sample.
+MARKS = 1_000_000_000
 STEPS = [0.5, 0.6, 0.7, 0.8, 0.9, 0.95]
 
 
@@ -138,33 +141,39 @@ KINDS = ["email_hidden", "national_id", "card_loose", "phone_loose"]
 
 def select(cands: DataFrame, scratch: Scratch) -> DataFrame | None:
     """Proposals that the trees and calibrated thresholds accept; None if there is nothing to learn from."""
-    counts = {r.label: r.n for r in cands.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if min(counts.get(0.0, 0), counts.get(1.0, 0)) < LEAST:
+    counts = {(r.kind, r.label): r.n for r in cands.groupBy("kind", "label").agg(F.count("*").alias("n")).collect()}  # one row per kind and label
+    if min(sum(n for (_, x), n in counts.items() if x == label) for label in (0.0, 1.0)) < LEAST:
         return None
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    mark = F.pmod(F.xxhash64("rid", "s", "e"), F.lit(1_000_000))
-    share = F.when(F.col("label") > 0, min(1.0, SAMPLE / 2 / counts[1.0])).otherwise(min(1.0, SAMPLE / 2 / counts[0.0]))
-    assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(cands)
-    sample = scratch.put(assembled.where(mark < share * 1_000_000).select("features", "label", "kind", (mark % 4 == 0).alias("held")), "sample", 1)
-    fit = sample.where("not held")
-    if fit.select("label").distinct().count() < 2:
-        return None
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=16, seed=7).fit(fit)
+    mark = F.pmod(F.xxhash64("rid", "s", "e"), F.lit(MARKS))
+    share = F.lit(0)
+    for (kind, label), n in counts.items():
+        share = F.when((F.col("kind") == kind) & (F.col("label") == label), min(MARKS, SAMPLE * MARKS // (2 * len(KINDS) * n) + 1)).otherwise(share)
+    half = F.pmod(F.xxhash64("e", "s", "rid", F.lit("half")), F.lit(2))
+    assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(cands.withColumn("half", half))
+    sample = assembled.where(mark < share).select("rid", "s", "e", "features", "label", "half")
+    sample = scratch.put(sample.repartition(1).sortWithinPartitions("rid", "s", "e", "label"), "sample")
     score = vector_to_array("probability")[1]
-    held = model.transform(sample.where("held")).select("kind", "label", score.alias("p"))
+    parts = []
+    for k in (0, 1):
+        fit = sample.where(F.col("half") == 1 - k)
+        if fit.select("label").distinct().count() < 2:
+            return None
+        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=16, seed=7).fit(fit)
+        parts.append(model.transform(assembled.where(F.col("half") == k)).select("rid", "s", "e", "kind", "label", "known", score.alias("p")))
+    scored = scratch.put(parts[0].unionByName(parts[1]), "scored")
     sums = [F.count_if((F.col("p") >= t) & (F.col("label") > 0)).alias(f"r{i}") for i, t in enumerate(STEPS)]
     sums += [F.count_if(F.col("p") >= t).alias(f"n{i}") for i, t in enumerate(STEPS)]
     limit = F.lit(2.0)  # kinds that never reach the precision add nothing
-    for r in held.groupBy("kind").agg(*sums).collect():  # one row per kind
+    for r in scored.groupBy("kind").agg(*sums).collect():  # one row per kind
         for i, t in enumerate(STEPS):
             if r[f"n{i}"] and r[f"r{i}"] >= PRECISION * r[f"n{i}"]:
                 limit = F.when(F.col("kind") == r.kind, t).otherwise(limit)
                 break
-    scored = model.transform(assembled.where("not known")).select("rid", "s", "e", "kind", score.alias("p"))
-    return scored.where(F.col("p") >= limit)
+    return scored.where(~F.col("known") & (F.col("p") >= limit)).select("rid", "s", "e", "kind", "p")
 
 
 def scan(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -91,6 +91,20 @@ def test_trees_add_what_context_names(spark):
     assert all(spans[i] == "" for i in range(2, 400, 4))
 
 
+def test_rare_kinds_are_calibrated_whatever_the_sample(spark, monkeypatch):
+    """National ids among very many phones: a sample drawn by label alone has about one."""
+    monkeypatch.setattr(pii, "SAMPLE", 400)
+    rng = random.Random(9)
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts = {i: f"her phone {num(3)}-{num(3)}-{num(4)} is new" for i in range(4000)}
+    texts |= {i: f"order {num(7)} and {num(4)}-{1 + i % 12:02d}-{1 + i % 28:02d} were shipped" for i in range(4000, 5000)}
+    texts |= {i: f"the ssn {num(3)}-{num(2)}-{num(4)} was named" for i in range(5000, 5030)}
+    spans = {r.doc_id: r.spans for r in pii.report(pii.scan(documents(spark, list(texts.items())), Scratch(spark, "t"))).collect()}
+    assert all("national_id" in spans[i] for i in range(5000, 5030))
+    assert sum("phone_loose" in spans[i] for i in range(4000)) >= 3900
+    assert all(spans[i] == "" for i in range(4000, 5000))
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_awkward(spark, empty):
     docs = awkward(spark).limit(0) if empty else awkward(spark)
