@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cladeflow.llm import shingles as S
 from cladeflow.runtime import Scratch
 
-#: The classifier's sample: about so many labelled rows of each language, and at most so many languages.
-SAMPLE_ROWS, LANGUAGES = 400, 64
+#: The classifier's sample: about so many labelled rows of each language.
+SAMPLE_ROWS = 400
 #: Trigrams are hashed to so many bins.
 BINS = 1 << 16
 #: A text counts as so many independent trigrams at most (neighbours overlap).
@@ -72,24 +72,21 @@ def markup_language(html: Column) -> Column:
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and log-likelihoods (bins x languages) from ``label, text, key``."""
     labelled = labelled.where("label is not null and text is not null")
-    counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()}
+    counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row a language
     names = sorted(counts)
     if not names:
         return [], np.zeros((BINS, 0), np.float32)
-    share = F.lit(0.0)
-    for name in names:
-        share = F.when(F.col("label") == name, F.lit(min(1.0, sample_rows / counts[name]))).otherwise(share)
+    share = F.create_map(*[F.lit(x) for name in names for x in (name, min(1.0, sample_rows / counts[name]))])[F.col("label")]
+    place = {name: k for k, name in enumerate(names)}
     sample = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share * 1_000_000).select("label", "text")
 
     def count(batches):
-        table = np.zeros((len(names), BINS), np.int64)
         for batch in batches:
-            label = np.array([names.index(x) for x in batch.column("label").to_pylist()], np.int64)
-            for base, rows, data, off in S.text_slices(batch.column("text")):
+            label = np.array([place[x] for x in batch.column("label").to_pylist()], np.int64)
+            for base, _, data, off in S.text_slices(batch.column("text")):
                 row, bins = trigrams(data, off)
-                table += np.bincount(label[base + row] * BINS + bins, minlength=table.size).reshape(table.shape)
-        lang, bins = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bins), pa.array(table[lang, bins])], ["lang", "bin", "n"])
+                cell, n = np.unique(label[base + row] * BINS + bins, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell // BINS), pa.array(cell % BINS), pa.array(n.astype(np.int64))], ["lang", "bin", "n"])
 
     table = np.full((BINS, len(names)), 0.5)
     counted = sample.mapInArrow(count, "lang bigint, bin bigint, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
@@ -123,13 +120,6 @@ def text_beliefs(docs: DataFrame, names: list[str], model: np.ndarray) -> DataFr
     return docs.mapInArrow(run, f"{schema}, trigrams bigint, letters bigint, ll array<double>")
 
 
-def _normalised(logs: list[Column]) -> tuple[Column, list[Column]]:
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    parts = [F.exp(x - top) for x in logs]
-    total = sum(parts[1:], parts[0])
-    return total, [p / total for p in parts]
-
-
 def identify(docs: DataFrame, scratch: Scratch, key: Column, text: Column, declared: Column, host: Column, label: Column, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per input row: ``doc_id, row_hash, declared, host, language, posterior, accepted``."""
     names, model = fit(docs.select(label.alias("label"), text.alias("text"), key.alias("key")), sample_rows)
@@ -141,8 +131,10 @@ def identify(docs: DataFrame, scratch: Scratch, key: Column, text: Column, decla
         return rows.select("doc_id", "row_hash", "declared", "host", none.cast("string").alias("language"), none.cast("double").alias("posterior"), F.lit(True).alias("accepted"))
     size = range(len(names))
     seen = scratch.put(text_beliefs(rows, names, model), "beliefs")
-    _, own = _normalised([F.col("ll")[k] for k in size])
-    soft = seen.where("trigrams > 0").select("declared", "host", "suffix", *[own[k].alias(f"p{k}") for k in size])
+    # sums over languages are columns of their own: plans grow with the languages, not with their square
+    odds = seen.where("trigrams > 0").withColumn("top", F.array_max("ll")).withColumn("e", F.transform("ll", lambda x: F.exp(x - F.col("top"))))
+    odds = odds.withColumn("total", F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x))
+    soft = odds.select("declared", "host", "suffix", *[(F.col("e")[k] / F.col("total")).alias(f"p{k}") for k in size])
     sums = [F.sum(f"p{k}").alias(f"p{k}") for k in size]
     by_host = scratch.put(soft.groupBy("suffix", "host").agg(*sums), "hosts")
     by_suffix = by_host.groupBy("suffix").agg(*[F.sum(f"p{k}").alias(f"s{k}") for k in size])
@@ -150,12 +142,14 @@ def identify(docs: DataFrame, scratch: Scratch, key: Column, text: Column, decla
     whole = np.array([x or 0.0 for x in whole]) + 1.0
     whole = whole / whole.sum()
 
+    def summed(prefix: str) -> Column:
+        return F.aggregate(F.array(*[F.col(f"{prefix}{j}") for j in size]), F.lit(0.0), lambda acc, x: acc + x)
+
     def smoothed(prefix: str, k: int, prior: Column) -> Column:
-        n = sum((F.col(f"{prefix}{j}") for j in size), F.lit(0.0))
-        return (F.col(f"{prefix}{k}") + STRENGTH * prior) / (n + STRENGTH)
+        return (F.col(f"{prefix}{k}") + STRENGTH * prior) / (F.col(f"n_{prefix}") + STRENGTH)
 
-    by_suffix = by_suffix.select(F.col("suffix").alias("above"), *[smoothed("s", k, F.lit(float(whole[k]))).alias(f"q{k}") for k in size])
-    priors = by_host.join(by_suffix, F.col("suffix").eqNullSafe(F.col("above"))).select(
+    by_suffix = by_suffix.withColumn("n_s", summed("s")).select(F.col("suffix").alias("above"), *[smoothed("s", k, F.lit(float(whole[k]))).alias(f"q{k}") for k in size])
+    priors = by_host.withColumn("n_p", summed("p")).join(by_suffix, F.col("suffix").eqNullSafe(F.col("above"))).select(
         "host", "suffix", *[F.log(smoothed("p", k, F.col(f"q{k}"))).alias(f"prior{k}") for k in size]
     )
     priors = priors.select(F.col("host").alias("h"), F.col("suffix").alias("x"), *[f"prior{k}" for k in size])
@@ -163,8 +157,8 @@ def identify(docs: DataFrame, scratch: Scratch, key: Column, text: Column, decla
     says = scratch.put(says, "declared")
     totals = [x or 0.0 for x in says.agg(*[F.sum(f"d{k}") for k in size]).first()]
     # P(declared | language), smoothed by the share of the declaration among all rows
-    share = sum((F.col(f"d{k}") for k in size), F.lit(0.0)) / F.lit(max(sum(totals), 1e-9))
-    says = says.select(F.col("declared").alias("said"), *[F.log((F.col(f"d{k}") + STRENGTH * share + 1e-6) / F.lit(totals[k] + STRENGTH + 1e-6)).alias(f"say{k}") for k in size])
+    share = F.col("share")
+    says = says.withColumn("share", summed("d") / F.lit(max(sum(totals), 1e-9))).select(F.col("declared").alias("said"), *[F.log((F.col(f"d{k}") + STRENGTH * share + 1e-6) / F.lit(totals[k] + STRENGTH + 1e-6)).alias(f"say{k}") for k in size])
     joined = seen.join(priors, seen["host"].eqNullSafe(F.col("h")) & seen["suffix"].eqNullSafe(F.col("x")), "left").join(says, seen["declared"].eqNullSafe(F.col("said")), "left")
     logs = [F.col("ll")[k] + F.coalesce(F.col(f"prior{k}"), F.lit(float(np.log(whole[k])))) + F.coalesce(F.col(f"say{k}"), F.lit(0.0)) for k in size]
     fused = joined.select("doc_id", "row_hash", "declared", "host", "letters", F.array(*logs).alias("logs"))

@@ -115,6 +115,15 @@ def test_language_evidence_decides_between_equal_texts(spark):
     assert all(got[r[0]].language == r[2] for r in rows[:300])
 
 
+def test_every_labelled_language_is_fitted(spark):
+    """Seventy languages, each of words of its own; the last ones have the fewest rows."""
+    rng = random.Random(4)
+    lexicon = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for _ in range(70)]
+    rows = [(100 * k + i, " ".join(rng.choices(lexicon[k], k=30)), f"l{k:02d}", "src", 1) for k in range(70) for i in range(4 if k < 64 else 2)]
+    got = L.of_documents(documents(spark, rows), Scratch(spark, "t")).collect()
+    assert {r.doc_id: r.language for r in got} == {r[0]: r[2] for r in rows} and all(r.accepted for r in got)
+
+
 def test_markup_and_hosts(spark):
     df = spark.createDataFrame([('<!DOCTYPE html><html class="a" lang="DE-at"><p>', "https://M.Example.org:80/a?b", ), ("<p lang=fr>", "src0")], "html string, url string")
     got = df.select(L.markup_language(F.col("html")), L.host_of(F.col("url")), L.suffix_of(L.host_of(F.col("url")))).collect()
