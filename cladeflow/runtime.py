@@ -15,6 +15,8 @@ def shared_root(spark: SparkSession) -> str:
     """Folder that the driver and all executors share, from ``spark.checkpoint.dir``."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = LOCAL_CHECKPOINTS
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -74,7 +76,10 @@ class Scratch:
         out = df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key)
         with shuffles_end_with_write(self.spark):
             out.option("path", path).option("compression", "zstd").saveAsTable(table_name)
-        return self.spark.table(table_name)
+        out = self.spark.table(table_name)
+        self.spark.sql(f"DROP TABLE {table_name}")  # an external table: its files stay, and the frame knows them
+        out._scratch_path = path
+        return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
@@ -82,6 +87,14 @@ class Scratch:
             remove_path(self.spark, df._scratch_path)
 
 
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that ``df`` doesn't have, for columns of an operator's own."""
+    taken, tag = {c.lower() for c in df.columns}, ""
+    while any(f"{s}{tag}".lower() in taken for s in stems):
+        tag = f"_{uuid.uuid4().hex[:8]}"
+    return [f"{s}{tag}" for s in stems]
+
+
 def parts_for(rows: int, each: int = 200_000) -> int:
     """Partitions for ``rows`` narrow rows, about ``each`` in one; grows with the rows."""
     return max(4, -(-rows // each))
