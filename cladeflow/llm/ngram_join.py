@@ -1,30 +1,35 @@
 """Exact Jaccard join of documents on word n-grams, and the classes it links.
 
-1. Every document becomes its sorted set of 64-bit shingle fingerprints; documents
-   with equal sets are one node from here on.
-2. Sizes fall into bands. Two sets that link differ in at most ``H`` members, a bound
-   fixed by the band of the smaller, so of ``H + 1`` ranges of the fingerprint space
-   at least one holds exactly the same members in both. Each (band, range, members)
-   is a tile; a tile holds little but true partners, and frequent passages don't
-   make large tiles. Spare ranges make up for empty ones (see ``Bands``).
-3. Tiles are combined before they are shuffled: within a batch, a tile's nodes hang
-   on the smallest of them, and only that one travels under the tile's key.
-4. In a tile, a pair is compared by 4,096-bit hashed bitmaps first: each bit set only
-   in one bitmap is a member that the other set lacks, which bounds the overlap from
-   above; what remains is decided by intersecting the sorted arrays.
-5. First each node meets the smallest node of its tiles, then the smallest of each
-   other tile, then, across the components found so far, all nodes of its tiles. Pairs
-   already known to be in one component are not compared, as the classes can't change.
-
-No link is lost: every linked pair shares a tile, and in the end every pair of a tile
+1. Every document becomes its sorted set of 64-bit shingle fingerprints; documents with
+   equal sets are one node from here on. A node's 64-bit id stands for its set only where
+   a second, independent fingerprint agrees; sets that share an id by chance get others.
+2. Sizes fall into bands. Two sets that link differ in at most ``limit`` members, a bound
+   fixed by the band of the smaller, so of ``limit + 1`` ranges of the fingerprint space
+   at least one holds exactly the same members in both. Each (band, range, members) is a
+   tile. Spare ranges make up for empty ones, and sets with more empty ranges than spare
+   ones are split anew by another order of the fingerprints (see ``Bands``), so tiles hold
+   true partners and hardly anything else, however large the corpus.
+3. A tile's smallest node leads it. Within a batch, the nodes of a tile hang on a leader
+   of their own, and only that one travels under the tile's key. Nodes that any tile puts
+   under one leader are its group; every pair that shares a tile shares a group.
+4. Groups are compared where their sets lie side by side: held sets against streamed ones,
+   in cells of bounded size, so a large group is many cells. A pair is compared by hashed
+   bitmaps first (a bit set only in one of them is a member that the other set lacks, which
+   bounds the overlap from above), then by intersecting the sorted arrays. Only links that
+   join two components leave a cell, at most one for each set in it.
+5. First each node meets the smallest of its leaders; then, in groups that still hold
+   several components, all nodes outside the largest one meet all nodes of the group, and
+   a pair that shares several groups meets in that of the smallest leader.
+
+No link is lost: every linked pair shares a group, and in the end every pair of a group
 is in one component or has been compared. Links and labels stay in tables.
 
 Defined cases: null and empty texts (and texts of white space only) have an empty set
 and link with nothing, not even each other; a text of fewer than ``k`` words has its
 whole word sequence as its one shingle; rows may repeat (their sets are equal, so they
 are one class); a null doc_id counts as larger than any other and names a component
-only if no row in it has an id; an empty table gives an empty result; further columns
-are ignored by ``join`` and passed through by ``keep_one``.
+only if no row in it has an id; an empty table gives an empty result; further columns,
+whatever their names, are ignored by ``join`` and passed through by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -39,15 +44,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cladeflow.llm import shingles as S
 from cladeflow.llm.keys import keyed
 from cladeflow.operators.components import connected_components
-from cladeflow.runtime import Scratch, parts_for
+from cladeflow.runtime import Scratch, free_names, parts_for
 
 U = np.uint64
 #: Growth of a band's upper end; at least 1 / similarity, so that partners are at most one band apart.
 RATIO = 1.4
-#: Longwords of a bitmap signature.
-LONGS = 64
-#: Nodes of a tile that are compared in memory at once; larger tiles are joined, which Spark can split.
-BLOCK = 2048
+#: Orders of the fingerprints that a set with too many empty ranges is split by.
+SPLITS = 8
+#: Longwords of a bitmap signature, for short and for long sets.
+LONGS = (64, 4096)
+#: Sets that a cell holds, sets that it streams past them, and members of either.
+HELD, STREAMED, MEMBERS = 1024, 4096, 1 << 20
 #: Tile rows that are sorted and combined at once.
 ROWS = 400_000
 #: Nodes of a batch that make a tile be combined before the shuffle.
@@ -58,10 +65,12 @@ class Bands:
     """Size bands for a similarity of ``num`` hundredths, and the ranges of each.
 
     ``parts[b]`` ranges hold ``limit[b] + 1 + spare[b]`` pieces of the fingerprint space.
-    A pair whose smaller set is in band ``b`` differs in at most ``limit[b]`` members. Of
-    the ranges that are not empty in both, at most ``limit[b]`` differ; if one of the two
-    sets has at most ``spare[b]`` empty ranges, some range with members is equal in both.
-    Sets with more empty ranges than that emit these too, so two such sets meet as well.
+    A pair whose smaller set is in band ``b`` differs in at most ``limit[b]`` members, so
+    at least ``spare[b] + 1`` ranges are equal in both. If one of the two sets has at most
+    ``spare[b]`` empty ranges, an equal range has members: a common tile. Otherwise both
+    split their members anew, by another order, and so on; what is left after ``SPLITS``
+    orders (a chance of a few hundredths each for the smallest sets, none for others)
+    takes its empty ranges as tiles as well.
     """
 
     def __init__(self, num: int, largest: int = 1 << 31):
@@ -80,16 +89,39 @@ class Bands:
         return np.searchsorted(self.top, n, "left")
 
 
-def node_ids(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Size and 64-bit identity of each row's set (of its sorted distinct members)."""
-    n = np.bincount(row, minlength=rows)
+def set_prints(row: np.ndarray, h: np.ndarray, rows: int, seed: int) -> np.ndarray:
+    """64-bit fingerprint of each row's set (of its sorted distinct members); 0 if empty."""
     sums = np.zeros(rows, U)
     if len(h):
         with np.errstate(over="ignore"):
             first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            sums[row[first]] = np.add.reduceat(S.mix(h ^ U(0x5851F42D4C957F2D)), first)
-            sums = S.mix(sums + n.astype(U))
-    return n, sums.view(np.int64)
+            sums[row[first]] = np.add.reduceat(S.mix(h ^ U(seed)), first)
+            sums = np.where(np.bincount(row, minlength=rows) > 0, S.mix(sums + np.bincount(row, minlength=rows).astype(U)), U(0))
+    return sums.view(np.int64)
+
+
+#: Seeds of the id and of the fingerprint that confirms it.
+SEEDS = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
+
+
+def node_ids(row: np.ndarray, h: np.ndarray, rows: int, moved: frozenset = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size, identity and confirming fingerprint of each row's set.
+
+    ``moved`` has the (id, fingerprint) of sets whose id another set has too: they take
+    an id made of both.
+    """
+    n = np.bincount(row, minlength=rows)
+    node, check = (set_prints(row, h, rows, s) for s in SEEDS)
+    if moved:
+        for i, pair in enumerate(zip(node.tolist(), check.tolist(), strict=True)):
+            if pair in moved:
+                node[i] = _moved_id(*pair)
+    return n, node, check
+
+
+def _moved_id(node: int, check: int) -> int:
+    both = np.array([node, check], np.int64).view(U)
+    return int(S.mix(S.mix(both[:1]) ^ both[1:]).view(np.int64)[0])
 
 
 def tile_keys(row: np.ndarray, h: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
@@ -99,67 +131,82 @@ def tile_keys(row: np.ndarray, h: np.ndarray, n: np.ndarray, bands: Bands) -> tu
     for shift in (0, 1):
         band = own - shift
         ok = (n > 0) & (band >= 0)
-        ok &= (shift == 0) | (n <= bands.widest[np.maximum(band, 0)])
+        band = np.maximum(band, 0)
+        ok &= (shift == 0) | (n <= bands.widest[band])
         # a band whose pairs can't differ holds equal sets only: they are one node already
-        ok &= bands.limit[np.maximum(band, 0)] > 0
-        if not ok.any():
-            continue
-        take = ok[row]
-        r, m = row[take], h[take]
-        if not len(r):
-            continue
-        parts = bands.parts[np.maximum(band, 0)].astype(U)
-        with np.errstate(over="ignore"):
-            part = ((m >> U(32)) * parts[r]) >> U(32)
-            seed = S.mix((np.maximum(band, 0).astype(U) << U(33))[r] + part)
-            new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (part[1:] != part[:-1])]))
-            keys = S.mix(np.add.reduceat(S.mix(m), new) + seed[new])
-        rows_out.append(r[new])
-        keys_out.append(keys)
-        filled = np.bincount(r[new], minlength=len(n))
-        for x in np.flatnonzero(ok & (bands.parts[np.maximum(band, 0)] - filled > bands.spare[np.maximum(band, 0)])):
-            lo, hi = np.searchsorted(r[new], [x, x + 1])
-            empty = np.setdiff1d(np.arange(int(parts[x]), dtype=U), part[new][lo:hi], assume_unique=True)
+        ok &= bands.limit[band] > 0
+        parts = bands.parts[band].astype(U)
+        for split in range(SPLITS):
+            take = ok[row]
+            r, m = row[take], h[take]
+            if not len(r):
+                break
+            if split:  # another order of the fingerprints
+                m = S.mix(m ^ S.mix(np.array([split], U)))
+                order = np.lexsort((m, r))
+                r, m = r[order], m[order]
             with np.errstate(over="ignore"):
-                keys = S.mix(S.mix((U(band[x]) << U(33)) + empty) ^ U(0xA0761D6478BD642F))
-            rows_out.append(np.full(len(empty), x))
-            keys_out.append(keys)
+                part = ((m >> U(32)) * parts[r]) >> U(32)
+                seed = S.mix((band.astype(U) << U(33))[r] + part + (U(split) << U(56)))
+                new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (part[1:] != part[:-1])]))
+                keys_out.append(S.mix(np.add.reduceat(S.mix(m), new) + seed[new]))
+            rows_out.append(r[new])
+            ok = ok & (bands.parts[band] - np.bincount(r[new], minlength=len(n)) > bands.spare[band])
+            if split == SPLITS - 1:
+                for x in np.flatnonzero(ok):
+                    lo, hi = np.searchsorted(r[new], [x, x + 1])
+                    empty = np.setdiff1d(np.arange(int(parts[x]), dtype=U), part[new][lo:hi], assume_unique=True)
+                    with np.errstate(over="ignore"):
+                        keys_out.append(S.mix(S.mix((U(band[x]) << U(33)) + empty) ^ U(0xA0761D6478BD642F)))
+                    rows_out.append(np.full(len(empty), x))
     if not rows_out:
         return np.zeros(0, np.int64), np.zeros(0, U)
     return np.concatenate(rows_out), np.concatenate(keys_out)
 
 
-def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, k: int, moved: frozenset):
+    """Per slice of texts: first row, then row and member of all sets, size, id and fingerprint of each."""
     for first, rows, data, off in S.text_slices(batch.column("text")):
         row, h, _ = S.shingles(data, off, k)
         row, h = S.distinct_by_row(row, h)
-        yield first, row, h, *node_ids(row, h, rows)
+        yield first, row, h, *node_ids(row, h, rows, moved)
 
 
 def document_nodes(docs: DataFrame, k: int) -> DataFrame:
-    """``rid, doc_id, text_hash, n, node`` of every row; node is null where the set is empty."""
+    """``rid, doc_id, text_hash, n, node, check`` of every row; node is null where the set is empty."""
 
     def run(batches):
         for batch in batches:
-            parts = [(n, node) for _, _, _, n, node in _sets(batch, k)]
-            n = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.int64)
-            node = np.concatenate([x for _, x in parts]) if parts else np.zeros(0, np.int64)
+            parts = [x[3:] for x in _sets(batch, k, frozenset())]
+            n, node, check = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in parts)]) for i in range(3))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("rid", "doc_id", "text_hash")), pa.array(n, pa.int64()), pa.array(node, mask=n == 0)],
-                ["rid", "doc_id", "text_hash", "n", "node"],
+                [*(batch.column(c) for c in ("rid", "doc_id", "text_hash")), pa.array(n, pa.int64()), pa.array(node, mask=n == 0), pa.array(check)],
+                ["rid", "doc_id", "text_hash", "n", "node", "check"],
             )
 
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    return hashed.mapInArrow(run, "rid bigint, doc_id bigint, text_hash bigint, n bigint, node bigint")
+    return hashed.mapInArrow(run, "rid bigint, doc_id bigint, text_hash bigint, n bigint, node bigint, check bigint")
+
 
+def shared_ids(nodes: DataFrame) -> frozenset:
+    """(id, fingerprint) of all sets but one of each id that several sets have.
 
-def tile_rows(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
-    """``key, node, pivot, tile``: nodes under their tile's key, or hung on a pivot already."""
+    Chance alone makes these: some ten pairs in 10^10 documents. Their number is checked.
+    """
+    two = nodes.where("node is not null").groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi")
+    also = nodes.join(two, "node").where("check <> lo").select("node", "check").distinct().limit(1_000_001).collect()
+    if len(also) > 1_000_000:
+        raise RuntimeError("more than a million sets share an id: that is no chance")
+    return frozenset((r.node, r.check) for r in also)
+
+
+def tile_rows(docs: DataFrame, k: int, bands: Bands, moved: frozenset) -> DataFrame:
+    """``key, node, lead``: nodes under their tile's key, or hung on a leader of their batch."""
 
     def parts(batches):
         tiles, nodes, held = [], [], 0
         for batch in batches:
-            for _, row, h, n, node in _sets(batch, k):
+            for _, row, h, n, node, _ in _sets(batch, k, moved):
                 r, keys = tile_keys(row, h, n, bands)
                 tiles.append(keys.view(np.int64))
                 nodes.append(node[r])
@@ -177,39 +224,41 @@ def tile_rows(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
             keep = np.ones(len(tile), bool)
             keep[1:] = (tile[1:] != tile[:-1]) | (node[1:] != node[:-1])
             tile, node = tile[keep], node[keep]
-            first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])) if len(tile) else np.zeros(0, int)
+            first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
             size = np.diff(np.append(first, len(tile)))
-            lead = np.zeros(len(tile), bool)
-            lead[first] = True
-            lead |= np.repeat(size < COMBINE, size)
-            pivot = np.repeat(node[first], size)
+            travels = np.repeat(size < COMBINE, size)
+            travels[first] = True
+            hung = np.unique(np.stack([np.repeat(node[first], size)[~travels], node[~travels]], axis=1), axis=0)
             with np.errstate(over="ignore"):
-                spread = S.mix(tile.view(U) ^ S.mix(node.view(U))).view(np.int64)
-            key = np.where(lead, tile, spread)
+                spread = S.mix(hung[:, 0].view(U) ^ S.mix(hung[:, 1].view(U))).view(np.int64)
+            rows = int(travels.sum())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(node), pa.array(pivot, mask=lead), pa.array(tile, mask=lead)], ["key", "node", "pivot", "tile"]
+                [
+                    pa.array(np.concatenate([tile[travels], spread])),
+                    pa.array(np.concatenate([node[travels], hung[:, 1]])),
+                    pa.array(np.concatenate([np.zeros(rows, np.int64), hung[:, 0]]), mask=np.arange(rows + len(hung)) < rows),
+                ],
+                ["key", "node", "lead"],
             )
 
-    return docs.select("text").mapInArrow(run, "key bigint, node bigint, pivot bigint, tile bigint")
+    return docs.select("text").mapInArrow(run, "key bigint, node bigint, lead bigint")
 
 
 def stars(tiles: DataFrame) -> DataFrame:
-    """``tile, node, pivot`` of tiles with two nodes or more; pivot is the smallest met.
+    """``lead, node, batch``: nodes under the smallest of their tile, or (batch) of a batch's part of it.
 
-    Rows come sorted by key, so a tile is read as a stream: one carried pivot is all that
-    is remembered, however many nodes it has.
+    Rows come sorted by key, so a tile is read as a stream: its leader is all that is
+    remembered, however many nodes it has.
     """
 
     def run(batches):
         last, held = None, None
         for batch in batches:
-            key, node, pivot, tile = (batch.column(i) for i in range(4))
-            hung = pivot.is_valid().to_numpy(zero_copy_only=False)
+            key, node, lead = (batch.column(i) for i in range(3))
+            hung = lead.is_valid().to_numpy(zero_copy_only=False)
             key, node = key.to_numpy(), node.to_numpy()
-            free = np.flatnonzero(~hung)
-            k, v = key[free], node[free]
-            new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
-            first = np.flatnonzero(new)
+            k, v = key[~hung], node[~hung]
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
             heads = v[first].copy()
             if len(k) and last is not None and k[0] == last:
                 heads[0] = held
@@ -217,130 +266,206 @@ def stars(tiles: DataFrame) -> DataFrame:
             if len(k):
                 last, held = k[-1], head[-1]
             link = head != v
-            done = np.flatnonzero(hung)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([k[link], tile.take(pa.array(done)).to_numpy(zero_copy_only=False).astype(np.int64)])),
-                    pa.array(np.concatenate([v[link], node[done]])),
-                    pa.array(np.concatenate([head[link], pivot.take(pa.array(done)).to_numpy(zero_copy_only=False).astype(np.int64)])),
-                ],
-                ["tile", "node", "pivot"],
-            )
+            tied = np.unique(np.stack([head[link], v[link]], axis=1), axis=0)
+            own = np.stack([lead.filter(lead.is_valid()).to_numpy(), node[hung]], axis=1)
+            both = np.concatenate([tied, own])
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.arange(len(both)) >= len(tied))], ["lead", "node", "batch"])
+
+    return tiles.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "lead bigint, node bigint, batch boolean")
+
+
+def groups_of(star: DataFrame) -> DataFrame:
+    """``lead, node``: the group of every leader, itself included."""
+    tied, hung = (star.where(w).select("lead", "node").distinct() for w in ("not batch", "batch"))
+    # what hangs on a batch's leader is under those that lead this one
+    up = tied.select(F.col("lead").alias("top"), F.col("node").alias("lead"))
+    under = hung.join(up, "lead").select(F.col("top").alias("lead"), "node")
+    own = star.select("lead", F.col("lead").alias("node"))
+    return tied.union(hung).union(under).union(own).distinct()
+
 
-    return tiles.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "tile bigint, node bigint, pivot bigint")
+def merged(groups: DataFrame) -> DataFrame:
+    """``lead, node``: groups whose leaders have the same smallest leader are one.
+
+    The tiles of many near copies have many leaders, which mostly meet in a tile of their
+    own: their groups would hold the same nodes again and again.
+    """
+    top = groups.groupBy("node").agg(F.min("lead").alias("top"))
+    top = top.where("top <> node").select(F.col("node").alias("lead"), "top")
+    return groups.join(top, "lead", "left").select(F.coalesce("top", "lead").alias("lead"), "node").distinct()
 
 
-def node_sets(texts: DataFrame, k: int) -> DataFrame:
-    """``want, text`` -> ``node, n, pop, bits, members`` (pop: bits set) of the rows whose set is the one wanted."""
+def node_sets(texts: DataFrame, k: int, moved: frozenset) -> DataFrame:
+    """``want, text`` -> ``node, n, members`` of the rows whose set is the one wanted."""
 
     def run(batches):
         for batch in batches:
             want = batch.column("want").to_numpy(zero_copy_only=False)
-            out = []
-            for first, row, h, n, node in _sets(batch, k):
+            for first, _, h, n, node, _ in _sets(batch, k, moved):
                 ends = np.cumsum(n)
-                for i in np.flatnonzero((node == want[first : first + len(n)]) & (n > 0)):
-                    m = h[ends[i] - n[i] : ends[i]]
-                    bits = np.zeros(LONGS * 64, np.uint8)
-                    bits[(m % U(LONGS * 64)).astype(np.int64)] = 1
-                    out.append((int(node[i]), int(n[i]), int(bits.sum()), np.packbits(bits).view(np.int64).tolist(), m.tobytes()))
-            if out:
-                a, b, c, d, e = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.list_(pa.int64())), pa.array(e, pa.binary())],
-                    ["node", "n", "pop", "bits", "members"],
-                )
-
-    return texts.mapInArrow(run, "node bigint, n bigint, pop bigint, bits array<bigint>, members binary")
-
-
-def may_link(num: int) -> Column:
-    """Upper bound of the overlap from bit counts: enough for a link?"""
+                take = np.flatnonzero((node == want[first : first + len(n)]) & (n > 0))
+                if len(take):
+                    sets = [h[ends[i] - n[i] : ends[i]].tobytes() for i in take]
+                    yield pa.RecordBatch.from_arrays([pa.array(node[take]), pa.array(n[take]), pa.array(sets, pa.binary())], ["node", "n", "members"])
+
+    return texts.mapInArrow(run, "node bigint, n bigint, members binary")
+
+
+def bitmaps(sets: list[np.ndarray], longs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed bitmap of each set, and the bits set in it."""
+    out = np.zeros((len(sets), longs), U)
+    for row, m in zip(out, sets, strict=True):
+        at = np.unique(m % U(longs * 64))
+        np.bitwise_or.at(row, (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
+    return out, np.bitwise_count(out).sum(axis=1, dtype=np.int64)
+
+
+class Cell:
+    """Held sets that streamed ones are compared with; remembers what has become one component."""
+
+    def __init__(self, rows: list[dict], num: int):
+        self.num, self.sets = num, [m for r in rows for m in r["members"]]
+        self.node, self.label = (np.concatenate([r[c] for r in rows]) for c in ("node", "label"))
+        self.n = np.array([len(m) for m in self.sets], np.int64)
+        wide = 1 << max(0, int(self.n.max() // 4).bit_length())
+        self.longs = min(max(wide, LONGS[0]), LONGS[1])
+        self.bits, self.pop = bitmaps(self.sets, self.longs)
+        self.now: dict[int, int] = {}
+        elsewhere: dict[int, list[int]] = {}
+        for i, leads in enumerate(x for r in rows for x in r["before"]):
+            for lead in leads.tolist():
+                elsewhere.setdefault(lead, []).append(i)
+        self.elsewhere = {lead: np.array(at) for lead, at in elsewhere.items()}
+
+    def root(self, label: int) -> int:
+        while label in self.now:
+            label = self.now[label]
+        return label
+
+    def common(self, at: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Members that ``m`` has in common with each of the held sets ``at``: sorted arrays, looked up side by side."""
+        many = self.sets[at[0]] if len(at) == 1 else np.concatenate([self.sets[i] for i in at.tolist()])
+        hit = m[np.minimum(np.searchsorted(m, many), len(m) - 1)] == many
+        return np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(self.n[at])[:-1]]))
+
+    def links(self, row: dict) -> Iterator[tuple[int, int]]:
+        """Pairs of labels that a link between a held and a streamed set joins."""
+        num, all_bits, all_pop = self.num, *bitmaps(row["members"], self.longs)
+        for j, m in enumerate(row["members"]):
+            own, n = self.root(int(row["label"][j])), len(m)
+            fit = (self.label != own) & (np.minimum(self.n, n) * 100 >= np.maximum(self.n, n) * num)
+            if row["apart"][j]:  # held elsewhere as well: one of the two meetings is enough
+                fit &= self.node < row["node"][j]
+            for lead in row["before"][j].tolist():  # met in a group of a smaller leader
+                if lead in self.elsewhere:
+                    fit[self.elsewhere[lead]] = False
+            at = np.flatnonzero(fit)
+            if len(at):
+                common = np.bitwise_count(self.bits[at] & all_bits[j]).sum(axis=1, dtype=np.int64)
+                # a bit that only one bitmap has is a member that the other set lacks
+                best = common + np.minimum(self.n[at] - self.pop[at], n - all_pop[j])
+                at = at[best * (100 + num) >= (self.n[at] + n) * num]
+            step = 1
+            while len(at):
+                some, at = at[:step], at[step:]
+                for i in some[self.common(some, m) * (100 + num) >= (self.n[some] + n) * num].tolist():
+                    if (other := int(self.label[i])) != own:
+                        yield own, other
+                        self.now[other] = own
+                        self.label[self.label == other] = own
+                at, step = at[self.label[at] != own], min(2 * step, 64)
+
+
+def cell_links(rows: DataFrame, num: int, *cell: str) -> DataFrame:
+    """``a, b``: labels of components that links within the cells join.
+
+    ``rows(*cell, held, apart, node, label, before, members)``; a cell's held rows come first,
+    then the streamed ones. ``before``: groups in which a row has its meetings already.
+    """
 
-    common = F.expr("aggregate(zip_with(ba, bb, (p, q) -> bit_count(p & q)), 0, (s, c) -> s + c)")
-    # a bit that only one bitmap has is a member that the other set lacks
-    best = common + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * num)
-    return fits & (best * (100 + num) >= (F.col("na") + F.col("nb")) * num)
+    def parts(batch):
+        ids = np.stack([batch.column(c).to_numpy() for c in cell], axis=1)
+        flat = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("held", "apart", "node", "label")}
+        before, raw = batch.column("before"), batch.column("members")
+        ends, leads = before.offsets.to_numpy(), before.values.to_numpy()
+        cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1) | (flat["held"][1:] != flat["held"][:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
+            if a < b:
+                out = {c: v[a:b].copy() for c, v in flat.items()}
+                out["before"] = [leads[ends[i] : ends[i + 1]].copy() for i in range(a, b)]
+                out["members"] = [np.frombuffer(raw[i].as_buffer(), U).copy() for i in range(a, b)]
+                yield ids[a].copy(), out
 
+    def run(batches):
+        last, held, now = None, [], None
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for own, rows in parts(batch):
+                if last is None or (own != last).any():
+                    last, held, now = own, [], None
+                if rows["held"][0]:
+                    held.append(rows)
+                elif held:
+                    now = now or Cell(held, num)
+                    found += now.links(rows)
+            pairs = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-def tile_pairs(member: DataFrame, num: int) -> DataFrame:
-    """``a, b`` of nodes in one tile, in different components, that bit counts can't keep apart.
+    dealt = rows.select(*cell, "held", "apart", "node", "label", "before", "members")
+    return dealt.repartition(*cell).sortWithinPartitions(*cell, F.col("held").desc()).mapInArrow(run, "a bigint, b bigint")
 
-    ``member(tile, label, node, n, pop, bits)`` of tiles of up to ``BLOCK`` nodes. Rows come
-    sorted by tile; one tile is held at a time.
-    """
 
-    def close(label, node, n, pop, bits) -> Iterator[np.ndarray]:
-        for i in range(len(node) - 1):
-            other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-            m = n[other]
-            other = other[(np.minimum(m, n[i]) * 100 >= np.maximum(m, n[i]) * num)]
-            if len(other):
-                common = np.bitwise_count(bits[other] & bits[i]).sum(axis=1, dtype=np.int64)
-                best = common + np.minimum(n[i] - pop[i], n[other] - pop[other])
-                other = other[best * (100 + num) >= (n[i] + n[other]) * num]
-                if len(other):
-                    yield np.stack([np.minimum(node[i], node[other]), np.maximum(node[i], node[other])], axis=1)
+def _none() -> Column:
+    return F.array().cast("array<bigint>")
 
-    def run(batches):
-        held, last = [], None
-        names = ("tile", "label", "node", "n", "pop")
 
-        def settle(parts):
-            tile, label, node, n, pop, bits = (np.concatenate(x) for x in zip(*parts, strict=True))
-            cuts = np.concatenate([[0], np.flatnonzero(tile[1:] != tile[:-1]) + 1, [len(tile)]])
-            found = [p for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1 for p in close(label[a:b], node[a:b], n[a:b], pop[a:b], bits[a:b])]
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+def leader_meetings(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Cells in which nodes meet leaders: ``pairs(lead, node)`` -> rows of cells (lead, chunk)."""
+    size = pairs.groupBy("lead").agg(F.count("*").alias("size")).join(sets.withColumnRenamed("node", "lead"), "lead")
+    chunks = F.ceil(F.greatest(F.col("size") / STREAMED, F.col("size") * F.col("n") / MEMBERS)).cast("int")
+    size = size.select("lead", chunks.alias("chunks"), "members")
+    chunk = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+    near = pairs.join(size.select("lead", "chunks"), "lead").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int")).join(sets, "node")
 
-        for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in names]
-            bits = batch.column("bits").flatten().to_numpy().view(U).reshape(-1, LONGS)
-            if not len(cols[0]):
-                continue
-            first = int(np.searchsorted(cols[0], cols[0][-1]))  # the last tile may go on in the next batch
-            head, tail = [c[:first] for c in (*cols, bits)], [c[first:] for c in (*cols, bits)]
-            if first:
-                yield settle([*held, head])
-                held = []
-            elif last is not None and cols[0][0] != last:
-                yield settle(held)
-                held = []
-            held.append(tail)
-            last = cols[0][-1]
-        if held:
-            yield settle(held)
+    def rows(df: DataFrame, node: str, held: bool, chunk: Column) -> DataFrame:
+        return df.select("lead", chunk, F.lit(held).alias("held"), F.lit(False).alias("apart"), F.col(node).alias("node"), F.col(node).alias("label"), _none().alias("before"), "members")
 
-    return member.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a bigint, b bigint")
+    return rows(size, "lead", True, chunk).union(rows(near, "node", False, F.col("chunk")))
 
 
-def compare(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
-    """The pairs ``a, b`` that link, by exact intersection of their sorted arrays."""
+def later_meetings(groups: DataFrame, sets: DataFrame, labels: DataFrame, scratch: Scratch, parts: int) -> DataFrame | None:
+    """Cells in which all nodes outside a group's largest component meet all of the group.
 
-    def run(batches):
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            left, right = batch.column("ma"), batch.column("mb")
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), U) for c in (left, right))
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep[i] = common * 100 >= num * (len(x) + len(y) - common)
-            mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
-
-    brief = sets.select("node", "n", "pop", "bits")
-    close = (  # the sets are bucketed by node: only the pairs are shuffled
-        pairs.join(brief.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("pop").alias("pa"), F.col("bits").alias("ba")), "a")
-        .join(brief.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pop").alias("pb"), F.col("bits").alias("bb")), "b")
-        .where(may_link(num))
-        .select("a", "b")
-    )
-    full = close.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b"
+    ``lead, block, chunk, held, label, members``: blocks of held nodes times chunks of
+    streamed ones. None if no group holds two components.
+    """
+    sized = labels.join(sets.select("node", "n"), "node")
+    in_group = groups.join(sized, "node")
+    kinds = in_group.groupBy("lead", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    most = F.max(F.struct("rows", "label", "n")).alias("most")
+    mixed = kinds.groupBy("lead").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.count("*").alias("kinds"), most).where("kinds > 1")
+    blocks = F.ceil(F.greatest((F.col("rows") - F.col("most.rows")) / HELD, (F.col("n") - F.col("most.n")) / MEMBERS)).cast("int")
+    chunks = F.ceil(F.greatest(F.col("rows") / STREAMED, F.col("n") / MEMBERS)).cast("int")
+    mixed = scratch.put(mixed.select("lead", F.col("most.label").alias("main"), blocks.alias("blocks"), chunks.alias("chunks")), "mixed", parts)
+    if not mixed.limit(1).count():
+        return None
+    where = in_group.join(mixed, "lead").select(
+        "lead",
+        "node",
+        "label",
+        (F.col("label") != F.col("main")).alias("apart"),
+        "blocks",
+        "chunks",
+        F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"),
+        F.pmod(F.xxhash64("node", F.lit(1)), "chunks").cast("int").alias("chunk"),
     )
-    return full.mapInArrow(run, "a bigint, b bigint")
+    leads = where.groupBy("node").agg(F.collect_list("lead").alias("leads")).join(sets.select("node", "members"), "node")
+    past = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.col("chunk").alias("chunk"), F.lit(False).alias("held")))
+    held = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.col("block").alias("block"), c.alias("chunk"), F.lit(True).alias("held")))
+    places = F.concat(past, F.when(F.col("apart"), held).otherwise(F.array().cast("array<struct<block:int,chunk:int,held:boolean>>")))
+    before = F.filter("leads", lambda x: x < F.col("lead"))
+    placed = where.join(leads, "node").select("lead", "apart", "node", "label", before.alias("before"), "members", F.explode(places).alias("at"))
+    return placed.select("lead", "at.block", "at.chunk", "at.held", "apart", "node", "label", "before", "members")
 
 
 def join(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,51 +477,42 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80, id_col: s
     bands = Bands(num)
     docs = keyed(docs, scratch, id_col, text_col)
     nodes = scratch.put(document_nodes(docs, k), "nodes")
-    star = scratch.put(stars(tile_rows(docs, k, bands)), "stars")
-    involved = star.select("node").union(star.select(F.col("pivot").alias("node"))).distinct()
+    moved = shared_ids(nodes)
+    if moved:
+        again = nodes.select("node", "check").distinct().mapInArrow(_renamed(moved), "node bigint, check bigint, other bigint")
+        nodes = nodes.join(again.where("node <> other"), ["node", "check"], "left").withColumn("node", F.coalesce("other", "node")).drop("other")
+        nodes = scratch.put(nodes, "nodes")
+    star = scratch.put(stars(tile_rows(docs, k, bands, moved)), "stars")
+    fine = scratch.put(groups_of(star), "fine")
+    groups = scratch.put(merged(fine), "groups")
+    scratch.drop(star, fine)
+    involved = groups.select("node").distinct()
     # one text of each node that has a tile in common with another
     wanted = nodes.join(involved, "node", "left_semi").groupBy("node").agg(F.min("rid").alias("rid")).withColumnRenamed("node", "want")
-    sets = scratch.put_bucketed(node_sets(docs.join(wanted, "rid").select("want", "text"), k), "sets", "node")
-
+    sets = scratch.put_bucketed(node_sets(docs.join(wanted, "rid").select("want", "text"), k, moved), "sets", "node")
     known = sets.count()
-    parts = parts_for(known, 20_000)  # rows with whole sets are wide
-    star = star.withColumnsRenamed({"node": "a", "pivot": "b"})
-    lone = sets.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    links = scratch.put(compare(star.groupBy("a").agg(F.min("b").alias("b")), sets, num), "links", parts)
-    labels = connected_components(links.union(lone), scratch)
-
-    def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-        """Labels after ``links`` across components: a graph of components, not of nodes."""
-        if not links.limit(1).count():
-            return labels
-        la, lb = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-        roots = connected_components(links.join(la, "a").join(lb, "b").select("la", "lb"), scratch, "la", "lb")
-        moved = labels.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
-        return scratch.put(moved.select("node", F.coalesce("root", "label").alias("label")), "labels", parts)
-
-    la, lb = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-    across = star.select("a", "b").distinct().join(la, "a").join(lb, "b").where("la <> lb").select("a", "b")
-    across = scratch.put(across, "across", parts)
-    if across.limit(1).count():
-        labels = joined(labels, scratch.put(compare(across, sets, num), "links", parts))
-
-    member = star.select("tile", F.col("a").alias("node")).union(star.select("tile", F.col("b").alias("node"))).distinct()
-    member = member.join(labels, "node")
-    mixed = member.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    member = member.join(mixed.select("tile", "size"), "tile").join(sets.select("node", "n", "pop", "bits"), "node")
-    member = scratch.put(member, "mixed", parts)
-    if member.limit(1).count():
-        small, large = member.where(F.col("size") <= BLOCK), member.where(F.col("size") > BLOCK)
-        left = large.select("tile", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("pop").alias("pa"), F.col("bits").alias("ba"))
-        right = large.select("tile", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("pop").alias("pb"), F.col("bits").alias("bb"))
-        rest = left.join(right, (left["tile"] == right["tile"]) & (F.col("la") < F.col("lb")) & may_link(num)).select("a", "b")
-        rest = rest.union(tile_pairs(small, num)).distinct()
-        rest = scratch.put(rest, "rest", parts)
-        if rest.limit(1).count():
-            labels = joined(labels, scratch.put(compare(rest, sets, num), "links", parts))
+    parts = parts_for(known)
+
+    labels = sets.select("node", F.col("node").alias("label"))
+
+    def joined(rows: DataFrame, *cell: str) -> DataFrame:
+        links = scratch.put(cell_links(rows, num, *cell), "links", parts)
+        roots = connected_components(links, scratch)
+        out = labels.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
+        out = scratch.put(out.select("node", F.coalesce("root", "label").alias("label")), "labels", parts)
+        scratch.drop(links, roots)
+        return out
+
+    first = groups.where("lead <> node").groupBy("node").agg(F.min("lead").alias("lead"))
+    labels = joined(leader_meetings(first, sets), "lead", "chunk")
+    rest = later_meetings(groups, sets, labels, scratch, parts)
+    if rest is not None:
+        labels = joined(rest, "lead", "block", "chunk")
+    scratch.drop(groups, sets)
 
     marked = nodes.join(labels, "node", "left").select("doc_id", "text_hash", "n", "node", F.coalesce("label", "node").alias("label"))
     marked = scratch.put(marked, "marked")
+    scratch.drop(nodes)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = marked.where("label is not null").groupBy("label").agg(F.min(order).alias("first"))
     out = marked.join(first, "label", "left")
@@ -405,13 +521,24 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80, id_col: s
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "node", "text_hash", head.alias("head"))
 
 
+def _renamed(moved: frozenset):
+    def run(batches):
+        for batch in batches:
+            node, check = (batch.column(c).to_pylist() for c in ("node", "check"))
+            other = [None if a is None else _moved_id(a, b) if (a, b) in moved else a for a, b in zip(node, check, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("check"), pa.array(other, pa.int64())], ["node", "check", "other"])
+
+    return run
+
+
 def keep_one(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row with the smallest doc_id of each class, and all rows with empty sets."""
+    lost_id, lost_text, own_id, own_text = free_names(docs, "lost_id", "lost_text", "own_id", "own_text")
     found = join(docs, scratch, k, num, id_col, text_col).where("not head")
-    lost = scratch.put(found.select(F.col("doc_id").alias("__lost"), F.col("text_hash").alias("__hash")).distinct(), "lost")
-    own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    out = docs.join(lost, F.col(id_col).cast("bigint").eqNullSafe(F.col("__lost")) & (own == F.col("__hash")), "left_anti")
-    if docs.groupBy(id_col).count().where("count > 1").limit(1).count():
+    lost = scratch.put(found.select(F.col("doc_id").alias(lost_id), F.col("text_hash").alias(lost_text)).distinct(), "lost")
+    named = docs.withColumn(own_id, docs[id_col].cast("bigint")).withColumn(own_text, F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
+    out = named.join(lost, F.col(own_id).eqNullSafe(F.col(lost_id)) & (F.col(own_text) == F.col(lost_text)), "left_anti")
+    if docs.groupBy(docs[id_col]).agg(F.count("*").alias(own_text)).where(F.col(own_text) > 1).limit(1).count():
         # rows that share an id: one of those with equal texts
-        out = out.dropDuplicates([id_col, text_col])
-    return out.select(*docs.columns)
+        out = out.dropDuplicates([own_id, own_text])
+    return out.drop(own_id, own_text)

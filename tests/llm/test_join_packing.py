@@ -72,9 +72,10 @@ def edited(rng, words, edits):
     return words
 
 
-@pytest.mark.parametrize("block", [2048, 2])
-def test_join_chains_and_hubs(spark, monkeypatch, block):
-    monkeypatch.setattr(J, "BLOCK", block)
+@pytest.mark.parametrize("cell", [1024, 3])
+def test_join_chains_and_hubs(spark, monkeypatch, cell):
+    monkeypatch.setattr(J, "HELD", cell)
+    monkeypatch.setattr(J, "STREAMED", cell)
     rng = random.Random(5)
     rows = []
     for base in range(12):
@@ -104,6 +105,46 @@ def test_linked_sets_share_a_tile(num):
         assert keys[0] & keys[1], (len(x), len(y))
 
 
+def test_tiles_of_unlinked_sets_stay_small():
+    """Sets that have nothing in common share no tile, however many they are."""
+    rng = np.random.default_rng(3)
+    for n in (4, 8, 100):
+        largest = []
+        for rows in (5_000, 20_000):
+            h = np.sort(rng.integers(0, 2**64, (rows, n), dtype=np.uint64), axis=1).ravel()
+            _, keys = J.tile_keys(np.repeat(np.arange(rows), n), h, np.full(rows, n), J.Bands(80))
+            largest.append(int(np.unique(keys, return_counts=True)[1].max()))
+        assert max(largest) <= 2, (n, largest)
+
+
+def test_sets_that_share_an_id_are_told_apart(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(30))) for i in range(60)]
+    rows += [(100 + i, t + " end") for i, (_, t) in enumerate(rows[:20])] + [(200 + i, t) for i, (_, t) in enumerate(rows[:5])]
+    docs = documents(spark, rows)
+    nodes = J.document_nodes(J.keyed(docs, Scratch(spark, "t"), "doc_id", "text"), 4)
+    crowded = nodes.selectExpr("rid", "doc_id", "text_hash", "n", "node % 16 as node", "check")
+    moved = J.shared_ids(crowded)
+    assert len(moved) == crowded.select("check").distinct().count() - crowded.select("node").distinct().count()
+    some = nodes.select("node", "check").distinct().limit(30).collect()
+    monkeypatch.setattr(J, "shared_ids", lambda _: frozenset((r.node, r.check) for r in some))
+    assert classes(J.join(docs, Scratch(spark, "t"), 4, 85)) == brute_classes(rows, 4, 85)
+
+
+def test_cells_hand_out_spanning_links_only(spark):
+    rng = random.Random(2)
+    words = [rng.choice("abcdefghij") * rng.randint(1, 4) for _ in range(80)]
+    rows = [(i, " ".join([*words, *([f"x{i}"] * (i % 3))])) for i in range(300)]
+    docs = documents(spark, rows)
+    scratch, bands = Scratch(spark, "t"), J.Bands(80)
+    keyed = J.keyed(docs, scratch, "doc_id", "text")
+    nodes = J.document_nodes(keyed, 5)
+    groups = J.merged(J.groups_of(J.stars(J.tile_rows(keyed, 5, bands, frozenset())))).cache()
+    sets = J.node_sets(keyed.join(nodes.select("rid", nodes["node"].alias("want")), "rid").select("want", "text"), 5, frozenset()).dropDuplicates(["node"]).cache()
+    links = J.cell_links(J.later_meetings(groups, sets, sets.select("node", sets["node"].alias("label")), scratch, 2), 80, "lead", "block", "chunk")
+    assert sets.count() == 201 and links.count() <= 201
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_join_awkward(spark, empty):
     docs = awkward(spark).limit(0) if empty else awkward(spark)
@@ -111,6 +152,7 @@ def test_join_awkward(spark, empty):
     got = classes(J.join(docs, Scratch(spark, "t"), 4, 85))
     want = brute_classes(rows, 4, 85)
     assert got == want
+    docs = docs.selectExpr("*", "1 as lost_id", "text as own_text", "2 as __lost", "3 as label", "4 as node")
     kept = J.keep_one(docs, Scratch(spark, "t"), 4, 85)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect() if shingle_set(r.text, 4)), key=str) == sorted({c for _, n, c in want if n}, key=str)
