@@ -32,6 +32,8 @@ def parser() -> argparse.ArgumentParser:
                     own.add_argument("--skip_refine", action="store_true")
             else:
                 own.add_argument(f"--{f.name}", type=type(f.default), default=f.default)
+        if name == "generate_families":
+            own.add_argument("--batch_size", type=int, help="clusters refined at once (all)")
     for own in sub.choices.values():
         own.add_argument("--chunk_id", default="1")
         own.add_argument("--output_dir", default="output")

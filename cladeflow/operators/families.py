@@ -50,11 +50,14 @@ def recruit(hits: DataFrame, database: DataFrame | None, share: float, leaving:
     """Named, clipped sequences of the hits that are long enough, with hit order kept.
 
     ``hits(family, target, tlen, env_from, env_to, qlen, ...)`` joined to
-    ``database(name, seq)``, or carrying ``seq`` already where database is None.
+    ``database(name, seq)``, or carrying ``seq`` already where database is None. A hit whose
+    record the database lacks is an error.
     """
     kept = hits.where(long_enough(F.col("env_from"), F.col("env_to"), F.col("qlen"), share, leaving))
     if database is not None:
         kept = kept.join(database.select(F.col("name").alias("target"), "seq"), "target", "left")
+        lacking = F.raise_error(F.concat(F.lit("no record of hit "), F.col("target")))
+        kept = kept.withColumn("seq", F.when(F.col("seq").isNull(), lacking.cast("string")).otherwise(F.col("seq")))
     return kept.withColumn("row_name", N.masked_name(F.col("target"), F.col("env_from"), F.col("env_to"), F.col("tlen"))).withColumn(
         "row", F.when(F.col("env_to") - F.col("env_from") + 1 < F.col("tlen"), N.masked_residues(F.col("seq"), F.col("env_from"), F.col("env_to"))).otherwise(F.col("seq"))
     )

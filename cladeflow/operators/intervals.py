@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Narrowest bin of the overlap join, and bins that a protein's longest interval may span.
-BIN, SPREAD = 64, 64
+#: Width of the narrowest bins of the overlap join, and the factor from one class of widths to the next.
+BIN, FACTOR = 8, 4
 
 
 def resolve_lengths(members: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -59,16 +59,36 @@ def shared_proteins(merged: DataFrame) -> DataFrame:
     return a.join(b, "protein").where("family_1 < family_2").groupBy("family_1", "family_2").agg(F.count("*").alias("shared_proteins"))
 
 
-def residue_overlap(merged: DataFrame) -> DataFrame:
-    """Residues that two families have in common, per pair (family_1 < family_2).
+def _class(length: str) -> str:
+    """Class of the narrowest bins that are no shorter than ``length``."""
+    return f"cast(greatest(0, ceil(round(log({FACTOR}, ({length}) / {BIN}), 9))) as int)"
+
+
+def overlapping(merged: DataFrame) -> DataFrame:
+    """``family_1, s1, e1, family_2, s2, e2`` of all overlapping intervals of two families.
 
-    Intervals are laid into bins, so that only neighbours meet and a protein with very
-    many intervals costs by its overlaps, not by their square. The width follows each
-    protein's longest interval; a pair counts in the bin where its overlap starts.
+    Every interval lies in one or two bins of its own class, whose width is at least its
+    length, and looks for partners there and in the bins of each wider class that the table
+    has. So only neighbours meet, and one long interval widens no bin but its own. A pair
+    counts in the bin where its overlap starts.
     """
-    width = merged.groupBy("protein").agg(F.greatest(F.lit(BIN).cast("bigint"), F.expr(f"max(end - start) div {SPREAD}")).alias("w"))
-    binned = merged.join(width, "protein").select("protein", "family", "start", "end", "w", F.explode(F.expr("sequence(start div w, end div w)")).alias("bin"))
-    a = binned.select("protein", "bin", "w", F.col("family").alias("family_1"), F.col("start").alias("s1"), F.col("end").alias("e1"))
-    b = binned.select("protein", "bin", F.col("family").alias("family_2"), F.col("start").alias("s2"), F.col("end").alias("e2"))
-    met = a.join(b, ["protein", "bin"]).where("family_1 < family_2 and s1 <= e2 and s2 <= e1 and greatest(s1, s2) div w = bin")
+    sized = merged.select("protein", "family", "start", "end", F.expr(_class("end - start + 1")).alias("own"))
+    bits = sized.agg(F.bit_or(F.expr("shiftleft(1L, own)")).alias("bits")).first().bits or 0  # one number
+    classes = [c for c in range(63) if bits >> c & 1]
+    width = lambda c: F.lit(BIN * FACTOR**c).cast("bigint")
+    wide = F.array(*[F.struct(F.lit(c).alias("class"), width(c).alias("w")) for c in classes] or [F.struct(F.lit(0).alias("class"), width(0).alias("w"))])
+    seen = sized.select("*", F.explode(F.filter(wide, lambda x: x["class"] >= F.col("own"))).alias("x")).select("*", "x.class", "x.w").drop("x")
+    seen = seen.select("*", F.explode(F.expr("sequence(start div w, end div w)")).alias("bin"))
+    key = ["protein", "class", "bin"]
+    a = seen.where("own = class").select(*key, "w", F.col("family").alias("f1"), F.col("start").alias("s1"), F.col("end").alias("e1"))
+    b = seen.select(*key, "own", F.col("family").alias("f2"), F.col("start").alias("s2"), F.col("end").alias("e2"))
+    met = a.join(b, key).where("f1 <> f2 and (own < class or f1 < f2) and s1 <= e2 and s2 <= e1 and greatest(s1, s2) div w = bin")
+    turned = F.col("f1") > F.col("f2")
+    pick = lambda x, y, name: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(name)
+    return met.select(*[pick(f"{x}{i}", f"{x}{3 - i}", f"{n}{i}") for i in (1, 2) for x, n in (("f", "family_"), ("s", "s"), ("e", "e"))])
+
+
+def residue_overlap(merged: DataFrame) -> DataFrame:
+    """Residues that two families have in common, per pair (family_1 < family_2)."""
+    met = overlapping(merged)
     return met.groupBy("family_1", "family_2").agg(F.sum(F.least("e1", "e2") - F.greatest("s1", "s2") + 1).alias("overlap"))

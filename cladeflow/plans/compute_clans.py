@@ -56,9 +56,19 @@ def read(spark: SparkSession, options: Options) -> tuple[DataFrame, DataFrame]:
 
 
 def run(spark: SparkSession, options: Options) -> dict:
-    """All of it; faulty input raises before the output tree is touched."""
+    """All of it. Faulty input raises before the output tree is touched; a run that fails
+    otherwise takes an earlier run's summary along, which no longer vouches for the files."""
+    try:
+        return _run(spark, options, *read(spark, options))
+    except T.InputError:
+        raise
+    except BaseException:
+        options.paths["summary"].unlink(missing_ok=True)
+        raise
+
+
+def _run(spark: SparkSession, options: Options, rows: DataFrame, intervals: DataFrame) -> dict:
     scratch = Scratch(spark, "clans")
-    rows, intervals = read(spark, options)
     merged = scratch.put(I.merge_intervals(intervals), "merged")
     totals = I.family_totals(merged)
     most = totals.agg(F.max("residues")).first()[0] or 0

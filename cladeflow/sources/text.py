@@ -6,9 +6,12 @@ the first fault into an error on the driver before anything is written.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cladeflow.functions import names as N
+from cladeflow.runtime import filesystem, shared_root
 
 FAMILY = "^[A-Za-z0-9._-]+$"
 #: Largest coordinate of a region.
@@ -29,9 +32,40 @@ def require(faults: DataFrame, error: type[InputError] = InputError) -> None:
         raise error(f"{r.fault}: {r.line[:200]!r}")
 
 
+def first_bytes(spark: SparkSession, path: str, most: int = 1 << 16) -> bytes:
+    """First bytes of a file in any store that Spark reads, up to its first one that is no white space."""
+    fs, p = filesystem(spark, path)
+    codec = spark.sparkContext._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark.sparkContext._jsc.hadoopConfiguration()).getCodec(p)
+    raw = fs.open(p)
+    try:
+        source = codec.createInputStream(raw) if codec is not None else raw
+        out = bytearray()
+        while len(out) < most and (b := source.read()) >= 0:
+            out.append(b)
+            if len(out) > 1 and bytes([b]).strip():
+                break
+        return bytes(out)
+    finally:
+        raw.close()
+
+
+def by_content(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    """The files of ``paths``; gzip that its name doesn't show is copied under one that does."""
+    out, jvm = [], spark.sparkContext._jvm
+    for url in spark.read.text(paths).inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(url)).toString()
+        if not path.endswith(".gz") and first_bytes(spark, path)[:2] == b"\x1f\x8b":
+            (fs, source), target = filesystem(spark, path), f"{shared_root(spark)}/gzip-{uuid.uuid4().hex}.gz"
+            to, at = filesystem(spark, target)
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, to, at, False, spark.sparkContext._jsc.hadoopConfiguration())
+            path = target
+        out.append(path)
+    return out
+
+
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines ended by line feeds only, without trailing carriage returns; gzip by file name."""
-    raw = spark.read.option("lineSep", "\n").text(paths)
+    """Lines ended by line feeds only, without trailing carriage returns; gzip by its first bytes."""
+    raw = spark.read.option("lineSep", "\n").text(by_content(spark, paths))
     return raw.select(F.regexp_replace("value", "[\\r\\n]+\\z", "").alias("line"))
 
 
@@ -75,19 +109,21 @@ def clusters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def fasta(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """``name, seq, length`` of FASTA records; sequences are upper-cased.
 
-    Records are split at ``\\n>``: only a file's first one keeps its mark.
+    Records are split at ``\\n>``: only a file's first one keeps its mark. A file whose
+    first line has none is at fault.
     """
-    raw = spark.read.option("lineSep", "\n>").text(paths).where("trim(both ' \\r\\n\\t' from value) <> ''")
-    first = F.input_file_block_start() == 0
+    files = by_content(spark, paths)
+    unmarked = [f for f in files if (start := first_bytes(spark, f).strip()) and not start.startswith(b">")]
+    raw = spark.read.option("lineSep", "\n>").text(files).where("trim(both ' \\r\\n\\t' from value) <> ''")
     body = F.regexp_replace("value", "^\\s*>", "")
     head = F.regexp_extract(body, "^[^\\n]*", 0)
     name = F.regexp_extract(head, "^\\s*(\\S+)", 1)
     parts = F.split(F.substr(body, F.length(head) + 1), "\n")
     seq = F.upper(F.array_join(F.transform(parts, lambda x: F.trim(F.regexp_replace(x, "^[\\s]+|[\\s]+$", ""))), ""))
-    rows = raw.select("value", first.alias("first"), name.alias("name"), seq.alias("seq"))
-    return rows.where("name <> ''").select("name", "seq", F.length("seq").cast("bigint").alias("length")), rows.where("name = ''").select(
-        F.lit("record without a name").alias("fault"), F.col("value").alias("line")
-    )
+    rows = raw.select("value", name.alias("name"), seq.alias("seq"))
+    nameless = rows.where("name = ''").select(F.lit("record without a name").alias("fault"), F.col("value").alias("line"))
+    headless = spark.createDataFrame([("text before the first record", f) for f in unmarked], "fault string, line string")
+    return rows.where("name <> ''").select("name", "seq", F.length("seq").cast("bigint").alias("length")), headless.union(nameless)
 
 
 def duplicates(records: DataFrame, column: str = "name") -> DataFrame:

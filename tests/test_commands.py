@@ -9,6 +9,7 @@ import pytest
 
 from cladeflow.cli import main
 from cladeflow.functions import names as N
+from cladeflow.plans import family_commands
 from pyspark.sql import functions as F
 
 from .test_rounds import database
@@ -56,6 +57,32 @@ def test_update(built, tmp_path, skip):
     assert stats["families"]["converged"] == (None if skip else 2) and stats["histograms"]["retention"] == {"1.0": 2}
 
 
+def test_log_and_batches(built, tmp_path):
+    assert "3 families refined" in (built / "out" / "c.log").read_text() or "2 families" in (built / "out" / "c.log").read_text()
+    assert main(["generate_families", str(built / "cl.tsv"), str(built / "db.fa"), "--output_dir", str(tmp_path / "b"), *FLAGS, "--batch_size", "2"]) == 0
+    for name in ("c_families.tsv", "c_metadata.csv", "c_discarded.csv", "c_converged.txt", "hmm/c_2.hmm.gz"):
+        assert (tmp_path / "b" / name).read_bytes() == (built / "out" / name).read_bytes()
+
+
+def test_a_family_whose_files_fail_leaves_none(spark, built, tmp_path, monkeypatch):
+    real = family_commands.sinks.deterministic_gzip
+    monkeypatch.setattr(family_commands.sinks, "deterministic_gzip", lambda path, text: 1 / 0 if path.name == "c_1.sto.gz" and path.parent.name == "full_msa" and "s0_0" in text else real(path, text))
+    assert main(["generate_families", str(built / "cl.tsv"), str(built / "db.fa"), "--output_dir", str(tmp_path / "f"), *FLAGS]) == 3
+    out = tmp_path / "f"
+    assert [r["reason"] for r in csv.DictReader((out / "c_discarded.csv").open())] == ["internal error during artifact writing", "too few sequences before initial hmmbuild"]
+    assert (out / "c_successful.txt").read_text() == "c_1\n" and sorted(p.name for p in (out / "hmm").iterdir()) == ["c_1.hmm.gz"]
+
+
+def test_no_output_may_be_an_input(built, tmp_path):
+    (tmp_path / "c_families.tsv").write_bytes((built / "cl.tsv").read_bytes())
+    assert main(["generate_families", str(tmp_path / "c_families.tsv"), str(built / "db.fa"), "--output_dir", str(tmp_path), "--chunk_id", "c"]) == 2
+    (tmp_path / "hmm").mkdir()
+    lib = tmp_path / "hmm" / "c_1.hmm.gz"
+    lib.write_bytes((built / "out" / "hmm" / "c_1.hmm.gz").read_bytes())
+    assert main(["update_families", str(lib), str(built / "db.fa"), "--output_dir", str(tmp_path), "--chunk_id", "c"]) == 2
+    assert (tmp_path / "c_families.tsv").read_bytes() == (built / "cl.tsv").read_bytes()
+
+
 def test_bad_input_exits_2(built, tmp_path):
     (tmp_path / "bad.tsv").write_text("a\tb\tc\n")
     (tmp_path / "twice.fa").write_text(">a\nAC\n>a\nAC\n")
