@@ -69,7 +69,13 @@ class ByteLevelIds:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(printable)]
         to_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        added = {t["content"] for t in spec.get("added_tokens", [])}
+        marks = spec.get("added_tokens", [])
+        if any(t.get(k) for t in marks for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take white space or word ends along are not supported")
+        added = {t["content"]: int(t["id"]).to_bytes(4, "little") for t in marks}
+        # a text is cut at added tokens first; the leftmost is taken, and of those the longest
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
+        self._added = added
         ranks = {bytes(to_byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
         encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._ids, self._piece = encoding.encode_ordinary, encoding._core_bpe.encode_single_piece
@@ -112,6 +118,13 @@ class ByteLevelIds:
         return out
 
     def __call__(self, text: str) -> bytes:
+        if self._cut:
+            plain, *rest = self._cut(text)
+            if rest:  # added tokens and what stands between them take turns
+                return b"".join([self._plain(plain), *(self._plain(x) if k % 2 else self._added[x] for k, x in enumerate(rest))])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if self._runs(text):
             return self._encode(text)
         lines, feed = [], self._encode("\n")

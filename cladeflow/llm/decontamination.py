@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cladeflow.llm import shingles as S
-from cladeflow.runtime import Scratch
+from cladeflow.runtime import Scratch, free_names
 
 U = np.uint64
 #: Words of a seed; alignment score from which a document counts as contaminated.
@@ -236,6 +236,7 @@ def matches(
 def drop_leaks(docs: DataFrame, items: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no passage of any item."""
     found = matches(docs, items, scratch, id_col=id_col, text_col=text_col, **options)
-    leaks = scratch.put(found.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).distinct(), "leaks")
-    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__hash"))
-    return docs.join(leaks, same, "left_anti").select(*docs.columns)
+    lost_id, lost_text, own_id, own_text = free_names(docs, "lost_id", "lost_text", "own_id", "own_text")
+    leaks = scratch.put(found.select(F.col("doc_id").alias(lost_id), F.col("row_hash").alias(lost_text)).distinct(), "leaks")
+    marked = docs.withColumn(own_id, docs[id_col].cast("bigint")).withColumn(own_text, F.xxhash64(docs[text_col]))
+    return marked.join(leaks, F.col(own_id).eqNullSafe(F.col(lost_id)) & (F.col(own_text) == F.col(lost_text)), "left_anti").drop(own_id, own_text)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cladeflow.llm import shingles as S
-from cladeflow.runtime import Scratch
+from cladeflow.runtime import Scratch, free_names
 
 #: The classifier's sample: about so many labelled rows of each language.
 SAMPLE_ROWS = 400
@@ -185,7 +185,8 @@ def of_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def keep_identified(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of ``docs`` whose language could be told."""
-    lost = of_documents(docs, scratch).where("not accepted").select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).distinct()
+    lost_id, lost_text, own_id, own_text = free_names(docs, "lost_id", "lost_text", "own_id", "own_text")
+    lost = of_documents(docs, scratch).where("not accepted").select(F.col("doc_id").alias(lost_id), F.col("row_hash").alias(lost_text)).distinct()
     lost = scratch.put(lost, "rejected")
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    return docs.join(lost, same, "left_anti").select(*docs.columns)
+    marked = docs.withColumn(own_id, docs["doc_id"].cast("bigint")).withColumn(own_text, F.xxhash64(docs["text"]))
+    return marked.join(lost, F.col(own_id).eqNullSafe(F.col(lost_id)) & (F.col(own_text) == F.col(lost_text)), "left_anti").drop(own_id, own_text)

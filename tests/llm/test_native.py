@@ -110,10 +110,52 @@ def test_exact_dedup_awkward(spark, empty):
     assert sorted((r.doc_id for r in left.collect()), key=str) == sorted((r.doc_id for r in got if r.kept), key=str)
 
 
+def run(spark, rows, path, scratch, batch=None, buckets=None):
+    index = exact_dedup.DigestIndex(spark, path, buckets)
+    return {r.doc_id: (r.keep_id, r.kept, r.group_size) for r in exact_dedup.decide(documents(spark, rows), index, scratch, batch=batch).collect()}
+
+
 def test_index_persists(spark):
     scratch = Scratch(spark, "t")
     path = scratch.path("i")
-    exact_dedup.decide(documents(spark, [(5, "a b"), (7, "a  b"), (8, "c")]), exact_dedup.DigestIndex(spark, path, 8), scratch).collect()
-    again = exact_dedup.decide(documents(spark, [(1, "ab"), (2, "d"), (3, " d")]), exact_dedup.DigestIndex(spark, path, 8), scratch).collect()
-    assert {r.doc_id: (r.keep_id, r.kept, r.group_size) for r in again} == {1: (7, False, 3), 2: (3, False, 2), 3: (3, True, 2)}
-    assert exact_dedup.DigestIndex(spark, path, 8).read().count() == 3
+    run(spark, [(5, "a b"), (7, "a  b"), (8, "c")], path, scratch, "one")
+    assert run(spark, [(1, "ab"), (2, "d"), (3, " d")], path, scratch, "two") == {1: (7, False, 3), 2: (3, False, 2), 3: (3, True, 2)}
+    assert run(spark, [(9, "a   b"), (10, "d")], path, scratch, "three") == {9: (9, True, 4), 10: (3, False, 3)}
+    index = exact_dedup.DigestIndex(spark, path)
+    assert [(r.was, r.keep_id) for r in exact_dedup.moved(index, "three").collect()] == [(7, 9)]
+    assert index.known().count() == 3 and index.known().agg({"group_size": "sum"}).first()[0] == 8
+
+
+def test_index_reopened_with_other_partitions(spark):
+    """The buckets are the index's own: no known text is kept again, whatever the session's partitions."""
+    scratch, before = Scratch(spark, "t"), spark.conf.get("spark.sql.shuffle.partitions")
+    path, rows = scratch.path("i"), [(i, f"text number {i}") for i in range(400)]
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 32)
+        assert sum(k for _, k, _ in run(spark, rows, path, scratch, "one").values()) == 400
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        again = run(spark, [(i + 1000, t) for i, t in rows] + [(9999, "fresh")], path, scratch, "two", buckets=5)
+        assert [i for i, (_, k, _) in again.items() if k] == [9999] and exact_dedup.DigestIndex(spark, path).buckets == 32
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_batch_given_again_gets_the_same_answer(spark):
+    scratch = Scratch(spark, "t")
+    path = scratch.path("i")
+    run(spark, [(1, "a"), (2, "b")], path, scratch, "one")
+    rows = [(3, "b "), (4, "c"), (5, "c"), (None, None)]
+    first = run(spark, rows, path, scratch, "two")
+    assert first == {3: (3, True, 2), 4: (4, True, 2), 5: (4, False, 2), None: (None, True, 1)}
+    assert run(spark, rows, path, scratch, "two") == first
+    assert exact_dedup.DigestIndex(spark, path).read().count() == 5
+
+
+def test_clashing_column_names_pass_through(spark):
+    names = ["__own", "__id", "own_id", "own_digest", "kept_id", "kept_digest", "points", "most", "digest", "KEEP_ID"]
+    docs = documents(spark, [(1, "x y"), (1, "x y"), (2, "xy"), (3, "z")]).selectExpr("*", *[f"'v{i}' as {n}" for i, n in enumerate(names)])
+    scratch = Scratch(spark, "t")
+    left = exact_dedup.drop_duplicates(docs, exact_dedup.DigestIndex(spark, scratch.path("j")), scratch)
+    rows = left.collect()
+    assert left.columns == docs.columns and sorted(r.doc_id for r in rows) == [1, 3]
+    assert all(r[n] == f"v{i}" for r in rows for i, n in enumerate(names))
