@@ -65,12 +65,12 @@ class Bands:
     """Size bands for a similarity of ``num`` hundredths, and the ranges of each.
 
     ``parts[b]`` ranges hold ``limit[b] + 1 + spare[b]`` pieces of the fingerprint space.
-    A pair whose smaller set is in band ``b`` differs in at most ``limit[b]`` members, so
-    at least ``spare[b] + 1`` ranges are equal in both. If one of the two sets has at most
-    ``spare[b]`` empty ranges, an equal range has members: a common tile. Otherwise both
-    split their members anew, by another order, and so on; what is left after ``SPLITS``
-    orders (a chance of a few hundredths each for the smallest sets, none for others)
-    takes its empty ranges as tiles as well.
+    A pair whose smaller set is in band ``b`` differs in at most ``limit[b]`` members, and
+    in fewer if its sets are small for the band (``apart``); all other ranges are equal in
+    both. If one of the two has fewer empty ranges than that leaves, an equal range has
+    members: a common tile. Otherwise both split their members anew, by another order, and
+    so on; what is left after ``SPLITS`` orders (a chance of a few hundredths each for the
+    smallest sets, none for others) takes its empty ranges as tiles as well.
     """
 
     def __init__(self, num: int, largest: int = 1 << 31):
@@ -84,6 +84,11 @@ class Bands:
         self.limit = (100 - num) * (self.top + widest) // (100 + num)
         self.spare = np.maximum(1, self.limit * 6 // 100)
         self.parts = self.limit + 1 + self.spare
+        self.num = num
+
+    def apart(self, n: np.ndarray, partner: np.ndarray) -> np.ndarray:
+        """Members in which linked sets of such sizes differ at most."""
+        return (100 - self.num) * (n + partner) // (100 + self.num)
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.top, n, "left")
@@ -136,6 +141,9 @@ def tile_keys(row: np.ndarray, h: np.ndarray, n: np.ndarray, bands: Bands) -> tu
         # a band whose pairs can't differ holds equal sets only: they are one node already
         ok &= bands.limit[band] > 0
         parts = bands.parts[band].astype(U)
+        # the largest partner that this set meets in the band's tiles
+        partner = n * 100 // bands.num if shift == 0 else bands.top[band]
+        allowed = bands.parts[band] - 1 - np.minimum(bands.limit[band], bands.apart(n, partner))
         for split in range(SPLITS):
             take = ok[row]
             r, m = row[take], h[take]
@@ -151,7 +159,7 @@ def tile_keys(row: np.ndarray, h: np.ndarray, n: np.ndarray, bands: Bands) -> tu
                 new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (part[1:] != part[:-1])]))
                 keys_out.append(S.mix(np.add.reduceat(S.mix(m), new) + seed[new]))
             rows_out.append(r[new])
-            ok = ok & (bands.parts[band] - np.bincount(r[new], minlength=len(n)) > bands.spare[band])
+            ok = ok & (bands.parts[band] - np.bincount(r[new], minlength=len(n)) > allowed)
             if split == SPLITS - 1:
                 for x in np.flatnonzero(ok):
                     lo, hi = np.searchsorted(r[new], [x, x + 1])
@@ -200,6 +208,20 @@ def shared_ids(nodes: DataFrame) -> frozenset:
     return frozenset((r.node, r.check) for r in also)
 
 
+def chief(lead: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """For each row the smallest leader that its leader is under itself.
+
+    The tiles of many near copies have many leaders, which mostly meet in a tile of their
+    own: their groups would hold the same nodes again and again.
+    """
+    some = np.unique(lead)
+    at = np.minimum(np.searchsorted(some, node), max(len(some) - 1, 0))
+    also = some[at] == node if len(some) else np.zeros(0, bool)
+    top = some.copy()
+    np.minimum.at(top, at[also], lead[also])
+    return top[np.searchsorted(some, lead)]
+
+
 def tile_rows(docs: DataFrame, k: int, bands: Bands, moved: frozenset) -> DataFrame:
     """``key, node, lead``: nodes under their tile's key, or hung on a leader of their batch."""
 
@@ -228,14 +250,19 @@ def tile_rows(docs: DataFrame, k: int, bands: Bands, moved: frozenset) -> DataFr
             size = np.diff(np.append(first, len(tile)))
             travels = np.repeat(size < COMBINE, size)
             travels[first] = True
-            hung = np.unique(np.stack([np.repeat(node[first], size)[~travels], node[~travels]], axis=1), axis=0)
+            full = np.repeat(size >= COMBINE, size)  # tiles whose nodes hang on a leader
+            lead = chief(np.repeat(node[first], size)[full], node[full])
+            hung = np.unique(np.stack([lead, node[full]], axis=1), axis=0)
+            hung = hung[hung[:, 0] != hung[:, 1]]
+            under = node.copy()  # what travels under the tile's key
+            under[full] = lead
             with np.errstate(over="ignore"):
                 spread = S.mix(hung[:, 0].view(U) ^ S.mix(hung[:, 1].view(U))).view(np.int64)
             rows = int(travels.sum())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([tile[travels], spread])),
-                    pa.array(np.concatenate([node[travels], hung[:, 1]])),
+                    pa.array(np.concatenate([under[travels], hung[:, 1]])),
                     pa.array(np.concatenate([np.zeros(rows, np.int64), hung[:, 0]]), mask=np.arange(rows + len(hung)) < rows),
                 ],
                 ["key", "node", "lead"],
@@ -275,24 +302,18 @@ def stars(tiles: DataFrame) -> DataFrame:
 
 
 def groups_of(star: DataFrame) -> DataFrame:
-    """``lead, node``: the group of every leader, itself included."""
-    tied, hung = (star.where(w).select("lead", "node").distinct() for w in ("not batch", "batch"))
-    # what hangs on a batch's leader is under those that lead this one
-    up = tied.select(F.col("lead").alias("top"), F.col("node").alias("lead"))
-    under = hung.join(up, "lead").select(F.col("top").alias("lead"), "node")
-    own = star.select("lead", F.col("lead").alias("node"))
-    return tied.union(hung).union(under).union(own).distinct()
-
-
-def merged(groups: DataFrame) -> DataFrame:
-    """``lead, node``: groups whose leaders have the same smallest leader are one.
+    """``lead, node``: groups that hold every tile's nodes together, their leaders included.
 
-    The tiles of many near copies have many leaders, which mostly meet in a tile of their
-    own: their groups would hold the same nodes again and again.
+    As in a batch (see ``chief``), a leader that is under others hands its group to the
+    smallest of them. What hangs on a batch's leader is in all groups that this one is in.
     """
-    top = groups.groupBy("node").agg(F.min("lead").alias("top"))
-    top = top.where("top <> node").select(F.col("node").alias("lead"), "top")
-    return groups.join(top, "lead", "left").select(F.coalesce("top", "lead").alias("lead"), "node").distinct()
+    tied, hung = (star.where(w).select("lead", "node").distinct() for w in ("not batch", "batch"))
+    top = tied.groupBy("node").agg(F.min("lead").alias("top")).select(F.col("node").alias("lead"), "top")
+    leads = star.select("lead").distinct().join(top, "lead", "left").select("lead", F.coalesce(F.least("top", "lead"), "lead").alias("top"))
+    under = tied.join(leads, "lead").select(F.col("top").alias("lead"), "node").union(leads.select(F.col("top").alias("lead"), F.col("lead").alias("node"))).distinct()
+    own = under.union(leads.select(F.col("top").alias("lead"), F.col("top").alias("node")))
+    also = under.select(F.col("node").alias("lead"), F.col("lead").alias("top"))
+    return own.union(hung.join(also, "lead").select(F.col("top").alias("lead"), "node")).distinct()
 
 
 def node_sets(texts: DataFrame, k: int, moved: frozenset) -> DataFrame:
@@ -483,9 +504,8 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80, id_col: s
         nodes = nodes.join(again.where("node <> other"), ["node", "check"], "left").withColumn("node", F.coalesce("other", "node")).drop("other")
         nodes = scratch.put(nodes, "nodes")
     star = scratch.put(stars(tile_rows(docs, k, bands, moved)), "stars")
-    fine = scratch.put(groups_of(star), "fine")
-    groups = scratch.put(merged(fine), "groups")
-    scratch.drop(star, fine)
+    groups = scratch.put(groups_of(star), "groups")
+    scratch.drop(star)
     involved = groups.select("node").distinct()
     # one text of each node that has a tile in common with another
     wanted = nodes.join(involved, "node", "left_semi").groupBy("node").agg(F.min("rid").alias("rid")).withColumnRenamed("node", "want")

@@ -139,7 +139,7 @@ def test_cells_hand_out_spanning_links_only(spark):
     scratch, bands = Scratch(spark, "t"), J.Bands(80)
     keyed = J.keyed(docs, scratch, "doc_id", "text")
     nodes = J.document_nodes(keyed, 5)
-    groups = J.merged(J.groups_of(J.stars(J.tile_rows(keyed, 5, bands, frozenset())))).cache()
+    groups = J.groups_of(J.stars(J.tile_rows(keyed, 5, bands, frozenset()))).cache()
     sets = J.node_sets(keyed.join(nodes.select("rid", nodes["node"].alias("want")), "rid").select("want", "text"), 5, frozenset()).dropDuplicates(["node"]).cache()
     links = J.cell_links(J.later_meetings(groups, sets, sets.select("node", sets["node"].alias("label")), scratch, 2), 80, "lead", "block", "chunk")
     assert sets.count() == 201 and links.count() <= 201
