@@ -2,10 +2,12 @@
 
 The test items are the stated query set. They are indexed in blocks of bounded size;
 each block's index is broadcast and meets all documents in two scans: one counts in
-how many documents each of its n-grams occurs, the other looks seeds up. The rarer
-half of every item's n-grams are its seeds, so an item that leaked into many documents
-keeps seeds however frequent they have become. A passage that holds a seed (or several
-other n-grams of the item) is aligned with the whole item word by word.
+how many documents each of its n-grams occurs, the other looks seeds up. The rarest n-gram
+of every ``WINDOW`` neighbours in an item (of fewer in a short one) is a seed, so each
+stretch of some words has one, and an item that leaked into many documents keeps its
+seeds however frequent they have become. Only passages that hold a seed are aligned,
+with the whole item, word by word. A passage counts from half of the item's full score,
+or from the score of ``MIN_WORDS`` words in a row, which a quote of a long item reaches.
 
 Defined cases: words are runs of letters, digits and non-ASCII characters, A-Z read as
 a-z; an item of fewer than ``n`` words has no seeds and matches nothing; null texts and
@@ -28,8 +30,8 @@ from cladeflow.runtime import Scratch, free_names
 U = np.uint64
 #: Words of a seed; alignment score from which a document counts as contaminated.
 SEED_WORDS, MIN_SCORE = 3, 0.5
-#: N-grams other than seeds that make a passage a candidate.
-OTHERS = 3
+#: Neighbouring n-grams of which the rarest is a seed; words whose score is enough, however long the item.
+WINDOW, MIN_WORDS = 4, 13
 #: Bytes of item text in one broadcast block.
 BLOCK_BYTES = 8 << 20
 #: Cells (candidates x passage words) aligned at once.
@@ -74,16 +76,21 @@ class Items:
         self.keys, self.begin = np.unique(self.gram, return_index=True)
         self.begin = np.append(self.begin, len(self.gram))
         self.item = np.searchsorted(self.first, self.at, "right") - 1
-        self.seed = np.zeros(len(self.gram), bool)
 
     def choose_seeds(self, df: np.ndarray) -> None:
-        """Seeds of each item are the n-grams no more frequent than its median one."""
-        freq = df[np.searchsorted(self.keys, self.gram)]
-        order = np.lexsort((freq, self.item))
-        item, freq = self.item[order], freq[order]
-        cuts = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]])) if len(item) else np.zeros(0, int)
-        size = np.diff(np.append(cuts, len(item)))
-        self.seed[order] = freq <= np.repeat(freq[cuts + (size - 1) // 2], size)
+        """Keep the rarest n-gram of all windows of neighbours in each item, and forget the others."""
+        freq = np.zeros(len(self.gram), np.int64)
+        freq[:] = df[np.searchsorted(self.keys, self.gram)]
+        place = np.lexsort((self.at, self.item))  # n-grams item by item, in order
+        seed = np.zeros(len(place), bool)
+        cuts = np.flatnonzero(np.diff(self.item[place])) + 1
+        for own in np.split(place, cuts) if len(place) else ():
+            width = max(1, min(WINDOW, len(own) // WINDOW))
+            windows = np.lib.stride_tricks.sliding_window_view(freq[own], width)
+            seed[own[np.unique(np.arange(len(windows)) + windows.argmin(axis=1))]] = True
+        self.gram, self.at, self.item = self.gram[seed], self.at[seed], self.item[seed]
+        self.keys, self.begin = np.unique(self.gram, return_index=True)
+        self.begin = np.append(self.begin, len(self.gram))
 
     def lookup(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indexes into ``g`` that are known, and their places in ``keys``."""
@@ -95,7 +102,7 @@ class Items:
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
-    """Best local alignment score of each (item, passage), as a share of the item's full score."""
+    """Best local alignment score of each (item, passage), in words."""
     out = [0.0] * len(pairs)
     order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][1]), len(pairs[i][0])))
     while order:
@@ -117,31 +124,27 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
             h = np.maximum.accumulate(up + slope, axis=1) - slope  # gaps in the item
             best = np.maximum(best, h.max(axis=1))
         for r, i in enumerate(take):
-            out[i] = float(best[r]) / (MATCH * len(pairs[i][0]))
+            out[i] = float(best[r]) / MATCH
     return out
 
 
 def _candidates(items: Items, h: np.ndarray, first: np.ndarray, n: int) -> Iterator[tuple[int, int, int, int]]:
-    """(row, item, first word, end word) of passages worth aligning."""
+    """(row, item, first word, end word) of passages that hold a seed."""
     at, g = grams(h, first, n)
     hit, key = items.lookup(g)
     if not len(hit):
         return
     times = items.begin[key + 1] - items.begin[key]
     where = np.repeat(items.begin[key], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    pos, item, seed = np.repeat(at[hit], times), items.item[where], items.seed[where]
+    pos, item = np.repeat(at[hit], times), items.item[where]
     row = np.searchsorted(first, pos, "right") - 1
     order = np.lexsort((pos, item, row))
-    pos, item, seed, row = pos[order], item[order], seed[order], row[order]
+    pos, item, row = pos[order], item[order], row[order]
     size = np.diff(np.append(items.first, len(items.words)))[: len(items.first)]
     new = np.ones(len(pos), bool)
     new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > 2 * size[item[1:]])
     cut = np.flatnonzero(new)
-    seeds = np.add.reduceat(seed.astype(int), cut)
-    fresh = np.ones(len(pos), int)
-    fresh[1:] = (pos[1:] != pos[:-1]) | new[1:]
-    spots = np.add.reduceat(fresh, cut)
-    for c in np.flatnonzero((seeds > 0) | (spots >= OTHERS)):
+    for c in range(len(cut)):
         a, b = cut[c], cut[c + 1] - 1 if c + 1 < len(cut) else len(pos) - 1
         r, i = int(row[a]), int(item[a])
         yield r, i, max(int(first[r]), int(pos[a]) - int(size[i])), min(int(first[r + 1]), int(pos[b]) + n + int(size[i]))
@@ -216,8 +219,9 @@ def matches(
                     cands = list(_candidates(index, h, first, n))
                     scores = align([(index.words[size[i] : size[i + 1]], h[a:b]) for _, i, a, b in cands])
                     best: dict[tuple[int, int], list] = {}
-                    for (r, i, _, _), score in zip(cands, scores, strict=True):
-                        if score >= min_score:
+                    for (r, i, _, _), words in zip(cands, scores, strict=True):
+                        score = words / float(size[i + 1] - size[i])
+                        if score >= min_score or words >= MIN_WORDS:
                             own = best.setdefault((base + r, i), [0.0, 0])
                             own[0], own[1] = max(own[0], score), own[1] + 1
                     found += [(r, ids[i], s, c) for (r, i), (s, c) in best.items()]

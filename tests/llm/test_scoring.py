@@ -38,7 +38,7 @@ def brute_leaks(docs, items, n=3, least=0.5):
             iw = words(it)
             if len(iw) >= n and any(tuple(iw[k : k + n]) in have for k in range(len(iw) - n + 1)):
                 score = smith_waterman(iw, ws)
-                if score >= least:
+                if score >= least or score * len(iw) >= 13:
                     out.append((d, i, round(score, 9)))
     return sorted(out, key=str)
 
@@ -49,7 +49,7 @@ def test_alignment_matches_brute_force():
     for _ in range(60):
         item = [rng.randrange(2, 9) for _ in range(rng.randint(1, 25))]
         pairs.append((np.array(item, np.uint64), np.array([rng.randrange(2, 9) for _ in range(rng.randint(1, 40))], np.uint64)))
-    assert np.allclose(D.align(pairs), [smith_waterman(a.tolist(), b.tolist()) for a, b in pairs])
+    assert np.allclose(D.align(pairs), [smith_waterman(a.tolist(), b.tolist()) * len(a) for a, b in pairs])
 
 
 def edited(rng, ws, share):
