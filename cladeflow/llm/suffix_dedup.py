@@ -5,20 +5,24 @@ every suffix would move many times the corpus, so only anchored suffixes are sor
 positions whose ``SEED``-byte hash is smallest in some window of ``span`` bytes. Equal
 strings of ``span`` bytes have their anchors at equal places, so no repeat is missed.
 
-1. Anchors are dealt to buckets by their leading bytes, between splitters sampled from
-   the corpus, and sorted there by (leading bytes and seed, context, position). Context
-   is all that strings through the anchor can hold: ``span - SEED`` bytes before it and
-   ``span`` after. Neighbours with equal context repeat the first of them wholly.
-2. Firsts with equal seeds but different contexts are where repeats begin and end. The
+1. Anchored suffixes are dealt to buckets by their leading ``SEED`` bytes, then by context,
+   between splitters sampled from the corpus. Each bucket is sorted by a multikey quicksort
+   over the bytes themselves, eight at a time. Context is all that strings through the
+   anchor can hold: ``span - SEED`` bytes before it and ``span`` after. Neighbours with
+   equal context repeat the first of them wholly.
+2. A seed in very many contexts fills several buckets, so the outer suffixes of buckets are
+   compared across their boundaries: a seed on both sides is one with different contexts.
+3. Suffixes with equal seeds but different contexts are where repeats begin and end. The
    strings through them are taken in blocks of neighbours: a block whose core (what all its
    strings share) stands nowhere else is settled, one that equals an earlier block repeats
-   it, and only the strings of the few that are left are compared one by one, by hash.
-3. What repeats meets its document again, overlaps are merged and the rest is kept.
+   it, and only the strings of the few that are left are compared one by one.
+4. What repeats meets its document again, overlaps are merged and the rest is kept.
 
-Equal keys never straddle a boundary between buckets; within a bucket rows are read as a
-sorted stream with one carried row, and repeats inside a batch are settled before the
-shuffle, so a passage in very many documents sends a row per batch, not per document.
-Equality beyond the seed is that of 64-bit fingerprints.
+Equal suffixes with equal context never straddle a boundary. Repeats inside a batch are
+settled before the shuffle, and those of a bucket whenever ``RUN`` rows are in hand, so a
+passage in very many documents never gathers in one place. Long texts are read in
+overlapping pieces. Suffixes and strings are equal if ``SEED`` bytes and a 64-bit
+fingerprint of the rest are, blocks if two such fingerprints are.
 
 Defined cases: null text is empty text; texts shorter than ``span`` are left alone; rows
 that repeat a doc_id (or have none) are documents of their own, ordered by doc_id, null
@@ -39,14 +43,18 @@ from cladeflow.runtime import Scratch
 
 U = np.uint64
 SPAN, SEED = 100, 32
-#: Documents sampled for the splitters, at most about so many; buckets per shuffle partition.
-SAMPLE_DOCS, BUCKETS = 2000, 4
+#: Buckets per shuffle partition; documents sampled per bucket, and every so many of their suffixes taken.
+BUCKETS, SAMPLE_DOCS, THIN = 4, 8, 16
+#: Rows of a bucket that are gathered before their repeats are let go; rows that are sorted as one leaf.
+RUN, LEAF = 1 << 20, 4096
 #: Strings in a block of neighbours.
 BLOCK = 9
-#: Leading bytes in the sort key; the seed's hash fills the rest of its 64 bits.
-LEAD = 3
+#: Bytes of a long text read at once.
+PIECE = 1 << 20
 
 FOUND = "kind int, rid bigint, s bigint, e bigint"
+#: Kinds of finding: repeats an earlier string, must be looked at closely, stands at the boundary of a bucket.
+REPEAT, CLOSER, OUTER = 0, 1, 2
 
 
 def _sliding(x: np.ndarray, w: int, fold: np.ufunc, fill: U) -> np.ndarray:
@@ -61,10 +69,13 @@ def _sliding(x: np.ndarray, w: int, fold: np.ufunc, fill: U) -> np.ndarray:
 
 
 class Slice:
-    """Seed hashes, window minima and anchors of a slice of documents."""
+    """Seed hashes, window minima and anchors of a slice of documents.
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, span: int, anchored: bool = True):
-        self.data, self.off, self.span = data, off, span
+    A piece of a long text begins ``shift`` bytes into it and owns the places ``core``.
+    """
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, span: int, anchored: bool = True, shift: int = 0, core: tuple[int, int] | None = None):
+        self.data, self.off, self.span, self.shift, self.core = data, off, span, shift, core
         self.windows = span - SEED + 1
         n = len(data)
         up, self.down = S._powers(n + 1)
@@ -86,19 +97,18 @@ class Slice:
         edge = np.zeros(self.windows - 1, U)
         top = _sliding(np.concatenate([edge, self.low, edge]), self.windows, np.maximum, U(0))
         self.anchors = np.flatnonzero(top == self.seed)
+        if core:
+            self.anchors = self.anchors[(self.anchors >= core[0] - shift) & (self.anchors < core[1] - shift)]
 
     def hashes(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return S.mix((self.sums[e] - self.sums[s]) * self.down[s])
 
-    def keys(self) -> np.ndarray:
-        """Leading bytes of each anchored suffix, then its seed's hash; ordered as signed."""
-        a = self.anchors
-        lead = np.zeros(len(a), U)
-        for j in range(LEAD):
-            lead = (lead << U(8)) | self.data[a + j].astype(U)
-        rest = U(64 - 8 * LEAD)
-        return ((lead << rest) | (self.seed[a] >> U(8 * LEAD)) ^ U(0)).view(np.int64) ^ np.int64(-(2**63))
+    def leads(self, at: np.ndarray) -> np.ndarray:
+        """The ``SEED`` bytes from each place on, as big-endian words."""
+        if not len(at):
+            return np.zeros((0, SEED // 8), U)
+        return np.lib.stride_tricks.sliding_window_view(self.data, SEED)[at].view(">u8").astype(U)
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Context hash of each anchor, its row, and the context's start and end in the row."""
@@ -108,7 +118,7 @@ class Slice:
         e = np.minimum(self.off[row + 1], a + self.span)
         with np.errstate(over="ignore"):
             ctx = S.mix(self.hashes(s, e) + ((a - s) * 256 + (e - a)).astype(U))
-        return ctx.view(np.int64), row, s - self.off[row], e - self.off[row]
+        return ctx.view(np.int64), row, s - self.off[row] + self.shift, e - self.off[row] + self.shift
 
     def blocks(self, places: np.ndarray) -> tuple[np.ndarray, ...]:
         """Core hash, hull hash, row, start and end of the blocks of strings through ``places``.
@@ -131,16 +141,49 @@ class Slice:
         with np.errstate(over="ignore"):
             core = S.mix(self.hashes(a - first, a - last + self.span) + j.astype(U))
             hull = S.mix(self.hashes(s, e) + ((lo << 8) + hi).astype(U))
-        return core.view(np.int64), hull.view(np.int64), row, s - self.off[row], e - self.off[row]
-
-
-def _settle(key, ctx, rid, s, e):
-    """Rows sorted by (key, context, place), and whether each repeats the row before."""
-    order = np.lexsort((s, rid, ctx, key))
-    key, ctx, rid, s, e = (x[order] for x in (key, ctx, rid, s, e))
-    again = np.zeros(len(key), bool)
-    again[1:] = (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1])
-    return key, ctx, rid, s, e, again
+        return core[:, None], hull.view(np.int64), row, s - self.off[row] + self.shift, e - self.off[row] + self.shift
+
+
+def multikey_quicksort(words: np.ndarray) -> np.ndarray:
+    """Order of the rows of ``words`` (n x depth, unsigned), by their first word, then the next.
+
+    Rows are split three ways about a pivot at one depth; only those equal to the pivot go
+    on to the next depth, so a prefix that many rows share is read once.
+    """
+    n, depth = words.shape
+    order = np.arange(n)
+    todo = [(0, n, 0)]
+    while todo:
+        lo, hi, d = todo.pop()
+        if hi - lo < 2 or d == depth:
+            continue
+        rows = order[lo:hi]
+        if hi - lo <= LEAF:
+            order[lo:hi] = rows[np.lexsort(words[rows, d:].T[::-1])]
+            continue
+        column = words[rows, d]
+        pivot = np.sort(column[:: max(1, len(column) // 9)])[4]
+        below, above = column < pivot, column > pivot
+        mid, end = lo + int(below.sum()), hi - int(above.sum())
+        order[lo:hi] = np.concatenate([rows[below], rows[~(below | above)], rows[above]])
+        todo += [(lo, mid, d), (mid, end, d + 1), (end, hi, d)]
+    return order
+
+
+def _same(words: np.ndarray) -> np.ndarray:
+    """Is each row that before it? (the first isn't)"""
+    same = np.zeros(len(words), bool)
+    same[1:] = (words[1:] == words[:-1]).all(axis=1)
+    return same
+
+
+def _settle(lead, ctx, rid, s, e):
+    """Rows sorted by (lead, context, place), and whether each repeats the row before."""
+    order = multikey_quicksort(np.column_stack([lead, ctx.view(U), rid.view(U) ^ U(1 << 63), s.astype(U)]))
+    lead, ctx, rid, s, e = (x[order] for x in (lead, ctx, rid, s, e))
+    again = _same(lead)
+    again[1:] &= ctx[1:] == ctx[:-1]
+    return lead, ctx, rid, s, e, again
 
 
 def _merged(rid: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,31 +201,62 @@ def _merged(rid: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray,
     return rid[cut], s[cut], np.maximum.reduceat(e, cut)
 
 
-ROWS = "bucket bigint, key bigint, ctx bigint, rid bigint, s bigint, e bigint, done boolean"
-_ROW_NAMES = ["bucket", "key", "ctx", "rid", "s", "e", "done"]
+ROWS = "bucket bigint, lead binary, ctx bigint, rid bigint, s bigint, e bigint, done boolean"
+_ROW_NAMES = ["bucket", "lead", "ctx", "rid", "s", "e", "done"]
+
+
+def _packed(lead: np.ndarray) -> pa.Array:
+    """Rows of words as a column of equally long byte strings."""
+    n, width = len(lead), lead.shape[1] * 8
+    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(width))
+    return pa.Array.from_buffers(pa.binary(), n, [None, offsets.buffers()[1], pa.py_buffer(lead.astype(">u8").tobytes())])
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    if not len(column):
+        return np.zeros((0, SEED // 8), U)
+    column = column.cast(pa.large_binary())
+    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]]
+    return raw.reshape(len(column), -1).view(">u8").astype(U)
+
+
+def _ranks(lead: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    """Suffixes as byte strings that compare as (lead, context)."""
+    both = np.ascontiguousarray(np.column_stack([lead, ctx.view(U)]).astype(">u8"))
+    return both.view(f"S{both.shape[1] * 8}").ravel()
 
 
 def _emit(parts: list[tuple], splitters: np.ndarray | None) -> pa.RecordBatch:
     """A batch's rows for the shuffle: what it settles itself is spread, the rest goes by key."""
-    key, ctx, rid, s, e = (np.concatenate(x) for x in zip(*parts, strict=True))
-    key, ctx, rid, s, e, again = _settle(key, ctx, rid, s, e)
+    lead, ctx, rid, s, e = (np.concatenate(x) for x in zip(*parts, strict=True))
+    lead, ctx, rid, s, e, again = _settle(lead, ctx, rid, s, e)
     ar, as_, ae = _merged(rid[again], s[again], e[again])
-    key, ctx, rid, s, e = (x[~again] for x in (key, ctx, rid, s, e))
-    bucket = key if splitters is None else np.searchsorted(splitters, key, "right").astype(np.int64)
+    lead, ctx, rid, s, e = (x[~again] for x in (lead, ctx, rid, s, e))
+    if splitters is None:
+        bucket = S.mix(lead[:, 0]).view(np.int64)
+    else:
+        bucket = np.searchsorted(splitters, _ranks(lead, ctx), "right").astype(np.int64)
     with np.errstate(over="ignore"):
         spread = S.mix(ar.view(U) ^ S.mix(as_.view(U))).view(np.int64)
     if splitters is not None:
         spread = spread % (len(splitters) + 1)
-    zero = np.zeros(len(ar), np.int64)
-    cols = [np.concatenate(x) for x in ((bucket, spread), (key, zero), (ctx, zero), (rid, ar), (s, as_), (e, ae))]
-    done = np.concatenate([np.zeros(len(key), bool), np.ones(len(ar), bool)])
-    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(done)], _ROW_NAMES)
+    none, zero = np.zeros((len(ar), lead.shape[1]), U), np.zeros(len(ar), np.int64)
+    cols = [np.concatenate(x) for x in ((ctx, zero), (rid, ar), (s, as_), (e, ae))]
+    done = np.concatenate([np.zeros(len(lead), bool), np.ones(len(ar), bool)])
+    front = [pa.array(np.concatenate([bucket, spread])), _packed(np.concatenate([lead, none]))]
+    return pa.RecordBatch.from_arrays([*front, *(pa.array(c) for c in cols), pa.array(done)], _ROW_NAMES)
 
 
 def _slices(batch: pa.RecordBatch, span: int, anchored: bool = True):
     rid = batch.column("rid").to_numpy(zero_copy_only=False)
     for base, rows, data, off in S.text_slices(batch.column("text")):
-        yield base, rid[base : base + rows], Slice(data, off, span, anchored)
+        if len(data) <= PIECE:
+            yield base, rid[base : base + rows], Slice(data, off, span, anchored)
+            continue
+        for lo in range(0, len(data), PIECE):  # a slice beyond the usual size is a single text
+            a, b = max(0, lo - 2 * span), min(len(data), lo + PIECE + 2 * span)
+            yield base, rid[base : base + rows], Slice(data[a:b], np.array([0, b - a]), span, anchored, a, (lo, lo + PIECE))
 
 
 def _pairs(value: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +272,7 @@ def anchor_rows(docs: DataFrame, span: int, splitters: np.ndarray) -> DataFrame:
             for _, rid, x in _slices(batch, span):
                 if len(x.anchors):
                     ctx, row, s, e = x.contexts()
-                    parts.append((x.keys(), ctx, rid[row], s, e))
+                    parts.append((x.leads(x.anchors), ctx, rid[row], s, e))
             if parts:
                 yield _emit(parts, shared.value)
 
@@ -206,18 +280,80 @@ def anchor_rows(docs: DataFrame, span: int, splitters: np.ndarray) -> DataFrame:
 
 
 def sample_splitters(docs: DataFrame, span: int, buckets: int) -> np.ndarray:
-    """Keys that cut the anchors of a bounded sample of documents into equal buckets."""
-    total = docs.count()
-    sample = docs.where(F.pmod(F.xxhash64("rid"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE_DOCS / max(1, total))) + 1)
+    """Suffixes that cut the corpus into about equal buckets, from a sample bounded by the buckets."""
+    share = min(1.0, SAMPLE_DOCS * buckets / max(1, docs.count()))
+    sample = docs.where(F.pmod(F.xxhash64("rid"), F.lit(1_000_000)) < int(1_000_000 * share) + 1)
 
     def run(batches):
         for batch in batches:
             for _, _, x in _slices(batch, span):
                 if len(x.anchors):
-                    yield pa.RecordBatch.from_arrays([pa.array(x.keys()[:: max(1, len(x.anchors) // 2000)])], ["key"])
+                    ctx, *_ = x.contexts()
+                    lead = np.column_stack([x.leads(x.anchors), ctx.view(U)])[::THIN]
+                    yield pa.RecordBatch.from_arrays([_packed(lead)], ["lead"])
+
+    keys = [bytes(r.lead) for r in sample.select("rid", "text").mapInArrow(run, "lead binary").toLocalIterator()]
+    keys = np.sort(np.array(keys, f"S{SEED + 8}"))
+    return np.unique(keys[[len(keys) * i // buckets for i in range(1, buckets)]]) if len(keys) else keys
+
+
+def _rows(kind: int, rid: np.ndarray, s: np.ndarray, e: np.ndarray, lead: np.ndarray | None = None, bucket: int = 0) -> pa.RecordBatch:
+    n = len(rid)
+    leads = pa.nulls(n, pa.binary()) if lead is None else _packed(lead)
+    cols = [pa.array(np.full(n, kind, np.int32)), pa.array(rid), pa.array(s), pa.array(e), leads, pa.array(np.full(n, bucket, np.int64))]
+    return pa.RecordBatch.from_arrays(cols, ["kind", "rid", "s", "e", "lead", "bucket"])
+
+
+def sort_buckets(rows: DataFrame) -> DataFrame:
+    """``kind, rid, s, e`` and, of suffixes at the boundaries of buckets, ``lead, bucket``."""
+
+    def settle(held: list[tuple]) -> tuple[tuple, pa.RecordBatch]:
+        *cols, again = _settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return tuple(x[~again] for x in cols), _rows(REPEAT, *(x[again] for x in cols[2:]))
+
+    def close(held: list[tuple], bucket: int):
+        (lead, _, *place), repeats = settle(held)
+        yield repeats
+        same = _same(lead)  # has a suffix with its seed and another context before it
+        tell = same.copy()
+        tell[:-1] |= same[1:]
+        yield _rows(CLOSER, *(x[tell] for x in place))
+        outer = np.unique([0, len(lead) - 1])
+        yield _rows(OUTER, *(x[outer] for x in place), lead[outer], bucket)
+
+    def run(batches):
+        held, size, at = [], 0, None
+        for batch in batches:
+            done = batch.column("done").to_numpy(zero_copy_only=False)
+            live = batch.filter(pa.array(~done))
+            yield _rows(REPEAT, *(batch.column(c).to_numpy()[done] for c in ("rid", "s", "e")))
+            bucket = live.column("bucket").to_numpy()
+            cols = (_unpacked(live.column("lead")), *(live.column(c).to_numpy() for c in ("ctx", "rid", "s", "e")))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if at is not None and bucket[a] != at:
+                    yield from close(held, at)
+                    held, size = [], 0
+                at = int(bucket[a])
+                held.append(tuple(x[a:b] for x in cols))
+                size += b - a
+                if size >= RUN:
+                    firsts, repeats = settle(held)
+                    yield repeats
+                    held, size = [firsts], 0
+        if held:
+            yield from close(held, at)
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, f"{FOUND}, lead binary, bucket bigint")
+
 
-    cuts = sample.select("rid", "text").mapInArrow(run, "key bigint").approxQuantile("key", [i / buckets for i in range(1, buckets)], 0.2 / buckets)
-    return np.unique(np.array(cuts, np.float64).astype(np.int64)) if cuts else np.zeros(0, np.int64)
+def across_boundaries(found: DataFrame) -> DataFrame:
+    """Suffixes at boundaries whose seed goes on in another bucket, in other contexts."""
+    outer = found.where(F.col("kind") == OUTER)
+    split = outer.groupBy("lead").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).where("lo < hi")
+    return outer.join(split.select("lead"), "lead").select(F.lit(CLOSER).alias("kind"), "rid", "s", "e")
 
 
 def resolve(rows: DataFrame, by_context: bool) -> DataFrame:
@@ -226,23 +362,23 @@ def resolve(rows: DataFrame, by_context: bool) -> DataFrame:
     def run(batches):
         last = None  # (key, ctx, rid, s, e, already told) of the row before
         for batch in batches:
-            key, ctx, rid, s, e = (batch.column(c).to_numpy() for c in ("key", "ctx", "rid", "s", "e"))
+            ctx, rid, s, e = (batch.column(c).to_numpy() for c in ("ctx", "rid", "s", "e"))
+            key = _unpacked(batch.column("lead"))
             done = batch.column("done").to_numpy(zero_copy_only=False)
             out = [(np.zeros(done.sum(), np.int32), rid[done], s[done], e[done])]
             live = ~done
             key, ctx, rid, s, e = (x[live] for x in (key, ctx, rid, s, e))
             if len(key):
-                joins = last is not None and last[0] == key[0]
-                again = np.zeros(len(key), bool)
-                again[1:] = (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1])
+                joins = last is not None and np.array_equal(last[0], key[0])
+                again = _same(key)
+                again[1:] &= ctx[1:] == ctx[:-1]
                 again[0] = joins and last[1] == ctx[0]
                 out.append((np.zeros(again.sum(), np.int32), rid[again], s[again], e[again]))
                 if by_context:
                     first = np.flatnonzero(~again)
-                    same = np.zeros(len(first), bool)  # has the first of another context before it
-                    same[1:] = key[first[1:]] == key[first[:-1]]
+                    same = _same(key[first])  # has the first of another context before it
                     if len(first):
-                        same[0] = joins and last[0] == key[first[0]]
+                        same[0] = joins and np.array_equal(last[0], key[first[0]])
                     tell = same.copy()
                     tell[:-1] |= same[1:]
                     if len(first) and same[0] and not last[5]:
@@ -259,7 +395,7 @@ def resolve(rows: DataFrame, by_context: bool) -> DataFrame:
             cols = [np.concatenate(x) for x in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "rid", "s", "e"])
 
-    return rows.repartition("bucket").sortWithinPartitions("key", "ctx", "rid", "s").mapInArrow(run, FOUND)
+    return rows.repartition("bucket").sortWithinPartitions("lead", "ctx", "rid", "s").mapInArrow(run, FOUND)
 
 
 def block_rows(edges: DataFrame, span: int) -> DataFrame:
@@ -297,13 +433,16 @@ def string_rows(edges: DataFrame, span: int) -> DataFrame:
                 starts, rows = [], []
                 for i in range(len(rid)):
                     s, e = _pairs(places[base + i])
+                    if x.core:
+                        own = (s >= x.core[0]) & (s < x.core[1])
+                        s, e = s[own], e[own]
                     n = e - s - span + 1
                     p = np.unique(np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                    starts.append(p + x.off[i])
+                    starts.append(p + x.off[i] - x.shift)
                     rows.append(np.full(len(p), i))
                 p, row = np.concatenate(starts), np.concatenate(rows)
-                at = p - x.off[row]
-                parts.append((x.hashes(p, p + span).view(np.int64), np.zeros(len(p), np.int64), rid[row], at, at + span))
+                at = p - x.off[row] + x.shift
+                parts.append((x.leads(p), x.hashes(p, p + span).view(np.int64), rid[row], at, at + span))
             if parts:
                 yield _emit(parts, None)
 
@@ -347,16 +486,17 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, span: int = SPAN) -> DataF
     """``rid, spans`` (array of struct s, e; overlapping, unordered) of what goes from ``rid, text``."""
     spark = docs.sparkSession
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = scratch.put(resolve(anchor_rows(docs, span, sample_splitters(docs, span, buckets)), True), "anchors")
+    found = scratch.put(sort_buckets(anchor_rows(docs, span, sample_splitters(docs, span, buckets))), "suffixes")
     pair = F.struct("s", "e")
 
     def edges(rows: DataFrame) -> DataFrame:
         places = rows.where("kind = 1").groupBy("rid").agg(F.collect_list(pair).alias("places"))  # of one document
         return docs.select("rid", "text").join(places, "rid")
 
-    blocks = scratch.put(resolve(block_rows(edges(found), span), True), "blocks")
+    closer = found.select("kind", "rid", "s", "e").unionByName(across_boundaries(found))
+    blocks = scratch.put(resolve(block_rows(edges(closer), span), True), "blocks")
     strings = scratch.put(resolve(string_rows(edges(blocks), span), False), "strings")
-    covers = found.unionByName(blocks).where("kind = 0").unionByName(strings)
+    covers = found.select("kind", "rid", "s", "e").unionByName(blocks).where("kind = 0").unionByName(strings)
     return covers.groupBy("rid").agg(F.collect_list(pair).alias("spans"))
 
 

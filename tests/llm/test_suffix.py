@@ -1,6 +1,8 @@
+import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from cladeflow.llm import suffix_dedup as D
@@ -69,3 +71,37 @@ def test_awkward(spark, empty):
     docs = awkward(spark).limit(0) if empty else awkward(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert got(D.deduplicate(docs, Scratch(spark, "t"))) == brute(rows)
+
+
+def test_multikey_quicksort_orders_rows():
+    rng = np.random.default_rng(4)
+    for n, high in ((0, 2), (1, 2), (20_000, 3), (20_000, 2**63)):
+        words = rng.integers(0, high, (n, 5), dtype=np.uint64)
+        order = D.multikey_quicksort(words)
+        assert words[order].tolist() == sorted(words.tolist())
+
+
+def test_hot_seed_fills_many_buckets(spark, monkeypatch):
+    """A line in every document, each time in another context, in small buckets and runs."""
+    monkeypatch.setattr(D, "BUCKETS", 40)
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    line = word(120)
+    rows = [(d, word(rng.randint(20, 60)) + line + word(rng.randint(20, 60))) for d in range(300)]
+    docs = documents(spark, rows).repartition(30)
+    monkeypatch.setattr(D, "SAMPLE_DOCS", 100)
+    assert got(D.deduplicate(docs, Scratch(spark, "t"))) == brute(rows)
+    cuts = D.sample_splitters(docs.selectExpr("doc_id rid", "text"), 100, 320)
+    assert max(collections.Counter(x[:32] for x in cuts.tolist()).values()) > 3  # seeds do straddle boundaries
+
+
+def test_long_texts_are_read_in_pieces(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    common = word(400)
+    text = "".join(word(rng.randint(50, 900)) + common[rng.randint(0, 99) : rng.randint(200, 400)] for _ in range(1000 + D.PIECE // 600))
+    for cut in (D.PIECE - 150, D.PIECE - 20):  # repeats across the cut between pieces
+        text = text[:cut] + common + text[cut:]
+    assert len(text) > D.PIECE + 1000
+    rows = [(1, text), (2, text[5000:9000]), (3, word(50) + common)]
+    assert got(D.deduplicate(documents(spark, rows), Scratch(spark, "t"))) == brute(rows)
