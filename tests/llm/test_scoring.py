@@ -1,3 +1,5 @@
+import collections
+import math
 import random
 import re
 
@@ -91,6 +93,86 @@ def test_leaks_blocks_and_awkward(spark, monkeypatch):
     assert D.matches(docs.limit(0), items, Scratch(spark, "t")).count() == 0
 
 
+def brute_languages(rows):
+    """Posteriors by loops and dicts of (doc_id, text, declared, host, label), fitted on all labelled rows."""
+
+    def bins(text):
+        b = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in (text or "").encode())
+        grams = [b[i : i + 3] for i in range(len(b) - 2) if b[i + 1] != 32]
+        return [(int.from_bytes(g, "big") * 2654435761 % 2**32) >> 16 for g in grams], sum(c != 32 for c in b)
+
+    names = sorted({x for *_, x in rows if x is not None})
+    langs = range(len(names))
+    seen = {x: collections.Counter() for x in names}
+    for _, text, *_, label in rows:
+        if label is not None and text is not None:
+            seen[label].update(bins(text)[0])
+    total = {x: sum(c.values()) + L.BINS / 2 for x, c in seen.items()}
+    beliefs, hosts, says = [], collections.defaultdict(lambda: [0.0] * len(names)), collections.defaultdict(lambda: [0.0] * len(names))
+    for _, text, declared, host, _ in rows:
+        own, letters = bins(text)
+        scale = min(len(own), L.EVIDENCE) / max(len(own), 1)
+        ll = [scale * sum(math.log((seen[x][g] + 0.5) / total[x]) for g in own) for x in names]
+        suffix = host.rpartition(".")[2] if host and "." in host and host.rpartition(".")[2].isalpha() else None
+        beliefs.append((ll, letters, suffix))
+        if own:
+            e = [math.exp(x - max(ll)) for x in ll]
+            for k in langs:
+                hosts[suffix, host][k] += e[k] / sum(e)
+                says[declared][k] += e[k] / sum(e)
+    whole = [1.0 + sum(p[k] for p in hosts.values()) for k in langs]
+    whole = [x / sum(whole) for x in whole]
+    smooth = lambda own, prior: [(own[k] + L.STRENGTH * prior[k]) / (sum(own) + L.STRENGTH) for k in langs]
+    above = {s: smooth([sum(p[k] for (x, _), p in hosts.items() if x == s) for k in langs], whole) for s in {s for s, _ in hosts}}
+    prior = {key: smooth(own, above[key[0]]) for key, own in hosts.items()}
+    totals = [sum(p[k] for p in says.values()) for k in langs]
+    out = []
+    for (doc_id, _, declared, host, _), (ll, letters, suffix) in zip(rows, beliefs, strict=True):
+        own = says.get(declared)
+        share = sum(own or [0]) / sum(totals)
+        logs = [ll[k] + math.log(prior.get((suffix, host), whole)[k]) for k in langs]
+        if own:
+            logs = [logs[k] + math.log((own[k] + L.STRENGTH * share + 1e-6) / (totals[k] + L.STRENGTH + 1e-6)) for k in langs]
+        best = max(langs, key=lambda k: logs[k])
+        posterior = 1 / sum(math.exp(x - logs[best]) for x in logs)
+        out.append((doc_id, names[best] if letters else "und", posterior if letters else 0.0, letters > 0 and posterior >= L.MIN_POSTERIOR))
+    return out
+
+
+def check_languages(got, want):
+    assert len(got) == len(want)
+    for r, (doc_id, language, posterior, accepted) in zip(sorted(got, key=lambda r: r.doc_id), sorted(want), strict=True):
+        assert r.doc_id == doc_id and r.posterior == pytest.approx(posterior, abs=1e-3)
+        if abs(posterior - 0.5) > 0.01:
+            assert (r.language, r.accepted) == (language, accepted)
+
+
+def test_languages_match_brute_force(spark, sf):
+    """The registered query: at this size every labelled row is in the classifier's sample."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert max(collections.Counter(r.lang for r in docs).values()) <= L.SAMPLE_ROWS
+    want = brute_languages([(r.doc_id, r.text, r.lang, r.source, r.lang) for r in docs])
+    check_languages(QUERIES["op1_language_id"](spark, sf).collect(), want)
+
+
+def test_languages_of_pages_match_brute_force(spark):
+    """Web pages: hosts with suffixes, languages declared in the markup, few labelled rows, misleading declarations."""
+    words_ = {"en": "the and of that with this from", "de": "der und die nicht mit von das", "nl": "de en het niet met van dat"}
+    rng = random.Random(21)
+    rows = []
+    for i in range(360):
+        truth = rng.choice(["en", "de", "nl"])
+        text = " ".join(rng.choices(words_[truth].split(), k=rng.choice([1, 2, 3, 12])))
+        said = rng.choice([truth, truth, truth, "en", None])
+        host = rng.choice([f"{rng.choice('abc')}.example.{dict(en='com', de='de', nl='nl')[truth]}", "shared.example.com", "localhost"])
+        rows.append((i, text, said, host, truth if i % 3 == 0 else None))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, said string, host string, label string")
+    html = F.concat(F.coalesce(F.concat(F.lit('<html lang="'), "said", F.lit('">')), F.lit("<html>")), F.lit("<p>"))
+    df = df.withColumn("html", html).withColumn("url", F.concat(F.lit("https://"), "host", F.lit("/p?q")))
+    got = L.identify(df, Scratch(spark, "t"), F.col("doc_id"), F.col("text"), L.markup_language(F.col("html")), L.host_of(F.col("url")), F.col("label"))
+    check_languages(got.collect(), brute_languages(rows))
+
+
 def test_language_held_out(spark):
     """Labels of a fifth of the rows are hidden, and some declarations are wrong."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
