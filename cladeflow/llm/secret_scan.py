@@ -26,7 +26,7 @@ BASE = ("assign", "access", "hex")
 
 # Formats of issued credentials that the base patterns miss.
 ISSUED = {
-    "pem": "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
+    "pem": "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\\x20\\x09-\\x0D]*-----END [A-Z ]{0,40}PRIVATE KEY-----)?",
     "github": "gh[pousr]_[A-Za-z0-9]{36,}",
     "slack": "xox[abprs]-[A-Za-z0-9-]{10,}",
     "jwt": "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}",
@@ -95,8 +95,10 @@ def scan(docs: DataFrame, ledger: BlobLedger, scratch: Scratch, id_col: str = "d
     unseen = unseen.select(F.col("digest").alias("d"), F.col("doc_id").alias("i"))
     blobs = versions.join(unseen, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left_semi")
     ledger.append(scan_blobs(blobs.select("digest", "text")), rule_version)
+    # only the batch's part of the ledger is gathered: a small batch is broadcast to it
+    own = ledger.read(rule_version).join(paths.select("digest").distinct(), "digest", "left_semi")
     # a path that repeats a row scans its blob twice with equal findings: one is enough
-    findings = ledger.read(rule_version).groupBy("digest").agg(F.max("spans").alias("spans"))
+    findings = own.groupBy("digest").agg(F.max("spans").alias("spans"))
     return paths.join(findings, "digest", "left").select("doc_id", "digest", F.coalesce("spans", no_spans()).alias("spans"))
 
 

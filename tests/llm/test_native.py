@@ -43,6 +43,19 @@ def test_secrets_match_brute_force(spark):
     check_secrets(rows, texts)
 
 
+def test_private_keys_are_marked_whole(spark):
+    body = "\nMIIEpAIBAAKCAQEA" + "abC1+/" * 2000 + "==\n"
+    whole = "-----BEGIN RSA PRIVATE KEY-----" + body + "-----END RSA PRIVATE KEY-----"
+    cut = "-----BEGIN PRIVATE KEY-----"
+    texts = {1: "x " + whole + " y", 2: cut + body, 3: cut + " notes, not a key " + whole}
+    scratch = Scratch(spark, "t")
+    ledger = secret_scan.BlobLedger(spark, scratch.path("ledger"))
+    got = {r.doc_id: r.spans for r in secret_scan.report(secret_scan.scan(documents(spark, list(texts.items())), ledger, scratch)).collect()}
+    pem = {d: [x for x in s.split(",") if x.startswith("pem")] for d, s in got.items()}
+    at = len(cut) + len(" notes, not a key ")
+    assert pem == {1: [f"pem:2:{2 + len(whole)}"], 2: [f"pem:0:{len(cut)}"], 3: [f"pem:0:{len(cut)}", f"pem:{at}:{at + len(whole)}"]}
+
+
 def test_secret_edges(spark):
     texts = {
         1: "token:token:abcdef token=abc TOKEN = 'abcdefg' api_key:\"x=y/z+1\"",
