@@ -51,6 +51,7 @@ QUERIES = {
     "residue_overlap": lambda s, d: I.residue_overlap(_merged(s, d)),
     "similarity_edges": lambda s, d: S.edges(_pairs(s, d)),
     "clan_edges": lambda s, d: S.clan_edges(_pairs(s, d)).select("family_1", "family_2", F.format_number("weight", 6).alias("weight")),
+    "edges_at_thresholds": lambda s, d: S.edges(_pairs(s, d), S.parse_threshold("0.25"), S.parse_threshold("0.750000")).select("family_1", "family_2"),
     "near_redundant": lambda s, d: _pairs(s, d).where(S.at_least(F.col("overlap"), F.col("residue_union"), Fraction(85, 100))).select("family_1", "family_2"),
     "similarity_summary": lambda s, d: S.summary(_pairs(s, d), near=Fraction(85, 100)),
     "clan_components": lambda s, d: _clans(s, d).select("clan_number", "family_id"),
@@ -85,6 +86,7 @@ ORACLES = {
         printf('%.6f', shared_proteins::double / protein_union::double) protein_jaccard, printf('%.6f', overlap::double / residue_union::double) residue_jaccard,
         printf('%.6f', overlap::double / smaller::double) residue_containment from pairs where 10 * overlap >= residue_union or 2 * overlap >= smaller""",
     "clan_edges": f"with {PAIRS_SQL} select family_1, family_2, printf('%.6f', overlap::double / residue_union::double) weight from pairs where 2 * overlap >= residue_union",
+    "edges_at_thresholds": f"with {PAIRS_SQL} select family_1, family_2 from pairs where 4 * overlap >= residue_union or 4 * overlap >= 3 * smaller",
     "near_redundant": f"with {PAIRS_SQL} select family_1, family_2 from pairs where 100 * overlap >= 85 * residue_union",
     "similarity_summary": f"""with {PAIRS_SQL} select count(*) pairs_sharing_proteins, count(*) filter (10 * overlap >= residue_union or 2 * overlap >= smaller) edges,
         count(*) filter (100 * overlap >= 85 * residue_union) near_redundant_pairs from pairs""",
