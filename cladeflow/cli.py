@@ -32,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
                     own.add_argument("--skip_refine", action="store_true")
             else:
                 own.add_argument(f"--{f.name}", type=type(f.default), default=f.default)
+        own.add_argument("--database_table", help="folder that keeps the parsed database for later runs")
         if name == "generate_families":
             own.add_argument("--batch_size", type=int, help="clusters refined at once (all)")
     for own in sub.choices.values():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import logging
 import re
 import uuid
@@ -17,7 +19,7 @@ from cladeflow import __version__
 from cladeflow.functions import names as N
 from cladeflow.operators import rounds as R
 from cladeflow.operators.kernels import Kernels, Model
-from cladeflow.runtime import Scratch
+from cladeflow.runtime import Scratch, filesystem, path_exists
 from cladeflow.sources import sinks, text as T
 
 # Headers of the output files.
@@ -197,10 +199,30 @@ def write(state: DataFrame, root: Path, prefix: str, command: str, options: R.Op
     return payload
 
 
+def stored_database(spark: SparkSession, fasta_file: str, folder: str | None, scratch: Scratch) -> DataFrame:
+    """The database as a table; kept in ``folder`` for other runs as long as its files stay as they are.
+
+    A table counts only with the mark that ends its writing, so a run that was stopped half
+    way leaves nothing that another would read.
+    """
+    if folder is None:
+        return scratch.put(database(spark, fasta_file), "database")
+    fs, path = filesystem(spark, fasta_file)
+    state = sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path))
+    kept = f"{folder.rstrip('/')}/{hashlib.sha256(json.dumps(state).encode()).hexdigest()[:32]}"
+    if not path_exists(spark, f"{kept}/_SUCCESS"):
+        database(spark, fasta_file).write.mode("overwrite").option("compression", "zstd").parquet(kept)
+    return spark.read.parquet(kept)
+
+
 def generate_families(
-    spark: SparkSession, clusters_chunk: str, fasta_file: str, chunk_id: str, output_dir: str, options: R.Options, kernels: Kernels | None = None, batch_size: int | None = None
+    spark: SparkSession, clusters_chunk: str, fasta_file: str, chunk_id: str, output_dir: str, options: R.Options, kernels: Kernels | None = None, batch_size: int | None = None,
+    database_table: str | None = None,
 ) -> dict:
-    """``batch_size``: clusters that are refined at once; all of them if None. It changes no result."""
+    """``batch_size``: clusters that are refined at once; all of them if None. It changes no result.
+
+    ``database_table``: folder that keeps the parsed database for later runs.
+    """
     sinks.safe_id(chunk_id)
     if batch_size is not None and batch_size < 1:
         raise T.InputError("batch_size must be at least 1")
@@ -209,7 +231,7 @@ def generate_families(
     sinks.refuse_alias(outputs(root, chunk_id), [clusters_chunk, fasta_file])
     clusters, faults = T.clusters(spark, clusters_chunk)
     T.require(faults)
-    db = scratch.put(database(spark, fasta_file), "database")
+    db = stored_database(spark, fasta_file, database_table, scratch)
     with logged(root, chunk_id) as log:
         (root / f"{chunk_id}_stats.json").unlink(missing_ok=True)
         clusters = scratch.put(clusters, "clusters")
@@ -239,7 +261,7 @@ def waves(clusters: DataFrame, scratch: Scratch, batch_size: int | None) -> Iter
         low = ends[-1]
 
 
-def update_families(spark: SparkSession, hmm_input: str, fasta_file: str, chunk_id: str, output_dir: str, options: R.Options, kernels: Kernels | None = None) -> dict:
+def update_families(spark: SparkSession, hmm_input: str, fasta_file: str, chunk_id: str, output_dir: str, options: R.Options, kernels: Kernels | None = None, database_table: str | None = None) -> dict:
     sinks.safe_id(chunk_id)
     kernels, scratch = kernels or R.default_kernels(), Scratch(spark, "update")
     root, prefix = Path(output_dir), f"{chunk_id}_updated"
@@ -253,7 +275,7 @@ def update_families(spark: SparkSession, hmm_input: str, fasta_file: str, chunk_
         foreign = [p.name for p in (root / "hmm").iterdir() if p.name.removesuffix(".hmm.gz") not in set(names)]
         if foreign:
             raise T.InputError(f"the output holds families of another run: {foreign[:5]}")
-    db = scratch.put(database(spark, fasta_file), "database")
+    db = stored_database(spark, fasta_file, database_table, scratch)
     with logged(root, prefix) as log:
         (root / f"{prefix}_stats.json").unlink(missing_ok=True)
         state = R.run_rounds(R.from_models(spark, models, options), db, options, scratch, kernels, loaded=True)

@@ -96,6 +96,20 @@ def test_bad_input_exits_2(built, tmp_path):
     assert not (tmp_path / "o").exists()
 
 
+def test_database_is_parsed_once(spark, tmp_path):
+    fasta, kept = tmp_path / "db.fa", tmp_path / "kept"
+    fasta.write_text(">a\nACD\n>b\nEF\n")
+    rows = lambda: sorted((r.name, r.seq) for r in family_commands.stored_database(spark, str(fasta), str(kept), None).collect())
+    assert rows() == [("a", "ACD"), ("b", "EF")]
+    first = {p: p.stat().st_mtime_ns for p in kept.rglob("*.parquet")}
+    assert rows() == [("a", "ACD"), ("b", "EF")]
+    assert {p: p.stat().st_mtime_ns for p in kept.rglob("*.parquet")} == first
+    next(kept.rglob("_SUCCESS")).unlink()  # as a run leaves it that was stopped half way
+    assert rows() == [("a", "ACD"), ("b", "EF")]
+    fasta.write_text(">a\nACDE\n")
+    assert rows() == [("a", "ACDE")]
+
+
 def test_external_names(spark):
     rows = [
         ("P_11_20/2_5", "--CDE", "ACDEFGHIKL", "P/12-14"),  # a slice, clipped
