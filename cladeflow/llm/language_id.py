@@ -16,6 +16,8 @@ ignored by ``identify`` and passed through by ``keep_identified``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -32,6 +34,9 @@ EVIDENCE = 60.0
 #: Rows of belief that a prior from the level above is worth; a posterior below the threshold is a rejection.
 STRENGTH, MIN_POSTERIOR = 20.0, 0.5
 
+#: Bytes of a long text read at once.
+PIECE = 1 << 20
+
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[65:91] = np.arange(97, 123)
 _LETTER[97:123] = np.arange(97, 123)
@@ -51,6 +56,17 @@ def trigrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return row[:-2][ok], bins[ok]
 
 
+def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices of texts as ``text_slices`` gives them, long texts in pieces that share two bytes: no trigram is lost or read twice."""
+    for base, rows, data, off in S.text_slices(column):
+        if len(data) <= PIECE:
+            yield base, rows, data, off
+            continue
+        for lo in range(0, len(data) - 2, PIECE):  # a slice beyond the usual size is a single text
+            piece = data[lo : lo + PIECE + 2]
+            yield base, 1, piece, np.array([0, len(piece)])
+
+
 def host_of(url: Column) -> Column:
     """Host of a URL, or the value itself where it is none."""
     host = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)", 1)
@@ -83,7 +99,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str],
     def count(batches):
         for batch in batches:
             label = np.array([place[x] for x in batch.column("label").to_pylist()], np.int64)
-            for base, _, data, off in S.text_slices(batch.column("text")):
+            for base, _, data, off in pieces(batch.column("text")):
                 row, bins = trigrams(data, off)
                 cell, n = np.unique(label[base + row] * BINS + bins, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cell // BINS), pa.array(cell % BINS), pa.array(n.astype(np.int64))], ["lang", "bin", "n"])
@@ -105,12 +121,12 @@ def text_beliefs(docs: DataFrame, names: list[str], model: np.ndarray) -> DataFr
         for batch in batches:
             n, letters = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             ll = np.zeros((batch.num_rows, len(names)))
-            for base, rows, data, off in S.text_slices(batch.column("text")):
+            for base, rows, data, off in pieces(batch.column("text")):
                 row, bins = trigrams(data, off)
-                n[base : base + rows] = np.bincount(row, minlength=rows)
-                letters[base : base + rows] = np.diff(np.concatenate([[0], np.cumsum(_LETTER[data] != 32)])[off])
+                n[base : base + rows] += np.bincount(row, minlength=rows)
+                letters[base : base + rows] += np.diff(np.concatenate([[0], np.cumsum(_LETTER[data] != 32)])[off])
                 for k in range(len(names)):
-                    ll[base : base + rows, k] = np.bincount(row, model[bins, k], minlength=rows)
+                    ll[base : base + rows, k] += np.bincount(row, model[bins, k], minlength=rows)
             with np.errstate(invalid="ignore", divide="ignore"):
                 ll *= (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
             flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(names), pa.int32()), pa.array(ll.ravel()))

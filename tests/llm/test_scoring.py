@@ -173,6 +173,20 @@ def test_languages_of_pages_match_brute_force(spark):
     check_languages(got.collect(), brute_languages(rows))
 
 
+def test_long_texts_are_read_in_pieces(spark):
+    """Two texts beyond a piece, one of them five times the size, and one that ends just past a cut."""
+    rng = random.Random(31)
+    lexicon = {"en": "the and of that with this from", "de": "der und die nicht mit von das"}
+    text = lambda lang, n: " ".join(rng.choices(lexicon[lang].split(), k=n))
+    rows = [(i, text(x, 20), x, "src", x) for i in range(30) for x in ("en", "de")]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    rows += [(100, text("en", L.PIECE // 20) + text("de", L.PIECE // 2), None, "src", None), (101, text("de", L.PIECE // 3)[: L.PIECE + 1], None, "src", None)]
+    assert len(rows[-2][1]) > 1.5 * L.PIECE and len(rows[-1][1]) == L.PIECE + 1
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, said string, host string, label string")
+    got = L.identify(df, Scratch(spark, "t"), F.col("doc_id"), F.col("text"), F.col("said"), F.col("host"), F.col("label"))
+    check_languages(got.collect(), brute_languages(rows))
+
+
 def test_language_held_out(spark):
     """Labels of a fifth of the rows are hidden, and some declarations are wrong."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
