@@ -12,12 +12,16 @@
 3. A tile's smallest node leads it. Within a batch, the nodes of a tile hang on a leader
    of their own, and only that one travels under the tile's key. Nodes that any tile puts
    under one leader are its group; every pair that shares a tile shares a group.
-4. Groups are compared where their sets lie side by side: held sets against streamed ones,
+4. Many groups hold sets that share a passage and no more. Within each group the sketches
+   of the sets (hashed bitmaps of three bits a member or more) are compared, every pair in
+   some cell of two blocks, and only what could link with another set of the group by that
+   bound stays in it. The sets of the others don't travel.
+5. Groups are compared where their sets lie side by side: held sets against streamed ones,
    in cells of bounded size, so a large group is many cells. A pair is compared by hashed
    bitmaps first (a bit set only in one of them is a member that the other set lacks, which
    bounds the overlap from above), then by intersecting the sorted arrays. Only links that
    join two components leave a cell, at most one for each set in it.
-5. First each node meets the smallest of its leaders; then, in groups that still hold
+6. First each node meets the smallest of its leaders; then, in groups that still hold
    several components, all nodes outside the largest one meet all nodes of the group, and
    a pair that shares several groups meets in that of the smallest leader.
 
@@ -55,6 +59,10 @@ SPLITS = 8
 LONGS = (64, 4096)
 #: Sets that a cell holds, sets that it streams past them, and members of either.
 HELD, STREAMED, MEMBERS = 1024, 4096, 1 << 20
+#: Sketches in a block, longwords in a block, and longwords of the longest sketch.
+SKETCHED, SKETCH_LONGS, SKETCH_MOST = 8192, 1 << 19, 4096
+#: Longwords that one step of the comparison of sketches makes.
+STEP = 1 << 19
 #: Tile rows that are sorted and combined at once.
 ROWS = 400_000
 #: Nodes of a batch that make a tile be combined before the shuffle.
@@ -181,19 +189,22 @@ def _sets(batch: pa.RecordBatch, k: int, moved: frozenset):
 
 
 def document_nodes(docs: DataFrame, k: int) -> DataFrame:
-    """``rid, doc_id, text_hash, n, node, check`` of every row; node is null where the set is empty."""
+    """``rid, doc_id, text_hash, n, node, check, sketch`` of every row; node is null where the set is empty."""
 
     def run(batches):
         for batch in batches:
-            parts = [x[3:] for x in _sets(batch, k, frozenset())]
+            parts, drawn = [], []
+            for _, row, h, *part in _sets(batch, k, frozenset()):
+                parts.append(part)
+                drawn += sketches(row, h, part[0])
             n, node, check = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in parts)]) for i in range(3))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("rid", "doc_id", "text_hash")), pa.array(n, pa.int64()), pa.array(node, mask=n == 0), pa.array(check)],
-                ["rid", "doc_id", "text_hash", "n", "node", "check"],
+                [*(batch.column(c) for c in ("rid", "doc_id", "text_hash")), pa.array(n, pa.int64()), pa.array(node, mask=n == 0), pa.array(check), pa.array(drawn, pa.binary())],
+                ["rid", "doc_id", "text_hash", "n", "node", "check", "sketch"],
             )
 
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    return hashed.mapInArrow(run, "rid bigint, doc_id bigint, text_hash bigint, n bigint, node bigint, check bigint")
+    return hashed.mapInArrow(run, "rid bigint, doc_id bigint, text_hash bigint, n bigint, node bigint, check bigint, sketch binary")
 
 
 def shared_ids(nodes: DataFrame) -> frozenset:
@@ -316,6 +327,109 @@ def groups_of(star: DataFrame) -> DataFrame:
     return own.union(hung.join(also, "lead").select(F.col("top").alias("lead"), "node")).distinct()
 
 
+def sketches(row: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Hashed bitmap of each row's set: a power of two of longwords, three bits a member at least, eight in short sets."""
+    bits = np.maximum(np.maximum(3 * n, np.minimum(8 * n, 1600)), 64)
+    longs = np.minimum(1 << np.ceil(np.log2(bits / 64)).astype(np.int64), SKETCH_MOST)
+    ends = np.cumsum(longs)
+    out = np.zeros(int(longs.sum()), U)
+    at = h & (longs.astype(U) * U(64) - U(1))[row]
+    np.bitwise_or.at(out, (ends - longs)[row] + (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
+    raw = out.tobytes()
+    return [raw[8 * (e - w) : 8 * e] for e, w in zip(ends.tolist(), longs.tolist(), strict=True)]
+
+
+def narrowed(bits: np.ndarray, longs: int) -> np.ndarray:
+    """Sketches as they are with fewer longwords."""
+    while bits.shape[1] > longs:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
+def possible(n: np.ndarray, block: np.ndarray, sketch: list[bytes], num: int) -> np.ndarray:
+    """Which sets of a cell may link with another of it, by sizes and sketches.
+
+    Sets of one block meet each other, those of two blocks meet across. What isn't found
+    can't link; who has one possible partner looks for no other.
+    """
+    found = np.zeros(len(n), bool)
+    across = block.min() != block.max()
+    longs = np.array([len(x) // 8 for x in sketch])
+    kinds = {}
+    for w in np.unique(longs).tolist():
+        at = np.flatnonzero(longs == w)
+        at = at[np.argsort(n[at], kind="stable")]
+        kinds[w] = at, np.frombuffer(b"".join(sketch[i] for i in at.tolist()), U).reshape(-1, w)
+    for (w, (mine, own)), (v, (theirs, other)) in ((x, y) for x in kinds.items() for y in kinds.items()):
+        if n[theirs[-1]] * 100 < n[mine[0]] * num or n[mine[-1]] * 100 < n[theirs[0]] * num:
+            continue
+        own, other = narrowed(own, min(w, v)), narrowed(other, min(w, v))
+        # members beyond the bits set: so many may share a bit with another member
+        hid, hid_other = (n[at] - np.bitwise_count(b).sum(axis=1, dtype=np.int64) for at, b in ((mine, own), (theirs, other)))
+        rows = max(1, min(64, STEP // 64 // min(w, v)))
+        for first in range(0, len(mine), rows):
+            a = np.arange(first, min(first + rows, len(mine)))
+            a = a[~found[mine[a]]]
+            if not len(a):
+                continue
+            at = int(np.searchsorted(n[theirs], -(-n[mine[a[0]]] * num // 100)))
+            end = int(np.searchsorted(n[theirs], n[mine[a[-1]]] * 100 // num, "right"))
+            step = 64
+            while at < end and len(a):
+                b = np.arange(at, min(at + max(1, min(step, STEP // (len(a) * min(w, v)))), end))
+                x, y = mine[a], theirs[b]
+                common = np.bitwise_count(own[a][:, None, :] & other[b][None, :, :]).sum(axis=2, dtype=np.int64)
+                best = common + np.minimum(hid[a][:, None], hid_other[b][None, :])
+                both = n[x][:, None] + n[y][None, :]
+                fits = (best * (100 + num) >= both * num) & (np.minimum(n[x][:, None], n[y][None, :]) * 100 >= np.maximum(n[x][:, None], n[y][None, :]) * num)
+                fits &= block[x][:, None] != block[y][None, :] if across else x[:, None] != y[None, :]
+                found[x[fits.any(axis=1)]] = True
+                found[y[fits.any(axis=0)]] = True
+                a, at, step = a[~found[x]], int(b[-1]) + 1, 4 * step
+    return found
+
+
+def near_groups(groups: DataFrame, nodes: DataFrame, num: int) -> DataFrame:
+    """The rows of ``groups`` that may link with another row of their group; ``nodes(node, n, sketch)``."""
+
+    def run(batches):
+        last, held = None, []
+
+        def settled():
+            n, block, node = (np.concatenate([h[i] for h in held]) for i in range(3))
+            return node[possible(n, block, [x for h in held for x in h[3]], num)]
+
+        for batch in batches:
+            leads, out = [], []
+            ids = np.stack([batch.column(c).to_numpy() for c in ("lead", "a", "b")], axis=1)
+            n, block, node = (batch.column(c).to_numpy() for c in ("n", "block", "node"))
+            sketch = batch.column("sketch")
+            cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
+                if a == b:
+                    continue
+                if last is not None and (ids[a] != last).any():
+                    out.append(settled())
+                    leads.append(np.full(len(out[-1]), last[0]))
+                    held = []
+                last = ids[a].copy()
+                held.append((n[a:b].copy(), block[a:b].copy(), node[a:b].copy(), sketch.slice(a, b - a).to_pylist()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (leads, out)], ["lead", "node"])
+        if held:
+            rest = settled()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rest), last[0])), pa.array(rest)], ["lead", "node"])
+
+    size = groups.join(nodes.select("node", (F.length("sketch") / 8).alias("longs")), "node").groupBy("lead").agg(F.count("*").alias("rows"), F.sum("longs").alias("longs"))
+    blocks = F.ceil(F.greatest(F.col("rows") / SKETCHED, F.col("longs") / SKETCH_LONGS)).cast("int")
+    placed = groups.join(size.where("rows > 1").select("lead", blocks.alias("blocks")), "lead").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    cell = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda c: F.struct(F.least("block", c).alias("a"), F.greatest("block", c).alias("b")))
+    placed = placed.select("lead", "node", "block", F.explode(cell).alias("cell")).join(nodes, "node")
+    placed = placed.select("lead", "cell.a", "cell.b", "block", "node", "n", "sketch")
+    return placed.repartition("lead", "a", "b").sortWithinPartitions("lead", "a", "b").mapInArrow(run, "lead bigint, node bigint").distinct()
+
+
 def node_sets(texts: DataFrame, k: int, moved: frozenset) -> DataFrame:
     """``want, text`` -> ``node, n, members`` of the rows whose set is the one wanted."""
 
@@ -506,9 +620,17 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80, id_col: s
     star = scratch.put(stars(tile_rows(docs, k, bands, moved)), "stars")
     groups = scratch.put(groups_of(star), "groups")
     scratch.drop(star)
-    involved = groups.select("node").distinct()
-    # one text of each node that has a tile in common with another
-    wanted = nodes.join(involved, "node", "left_semi").groupBy("node").agg(F.min("rid").alias("rid")).withColumnRenamed("node", "want")
+
+    def one_each(groups: DataFrame) -> DataFrame:
+        """A row of each node in a group."""
+        return nodes.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("rid").alias("rid"))
+
+    drawn = nodes.join(one_each(groups).select("rid"), "rid").select("node", "n", "sketch")
+    near = scratch.put(near_groups(groups, drawn, num), "near")
+    scratch.drop(groups)
+    groups = near
+    # one text of each node that may link with another one of a group
+    wanted = one_each(groups).withColumnRenamed("node", "want")
     sets = scratch.put_bucketed(node_sets(docs.join(wanted, "rid").select("want", "text"), k, moved), "sets", "node")
     known = sets.count()
     parts = parts_for(known)
@@ -523,7 +645,8 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80, id_col: s
         scratch.drop(links, roots)
         return out
 
-    first = groups.where("lead <> node").groupBy("node").agg(F.min("lead").alias("lead"))
+    leaders = groups.where("lead = node").select("lead")
+    first = groups.where("lead <> node").join(leaders, "lead", "left_semi").groupBy("node").agg(F.min("lead").alias("lead"))
     labels = joined(leader_meetings(first, sets), "lead", "chunk")
     rest = later_meetings(groups, sets, labels, scratch, parts)
     if rest is not None:

@@ -145,6 +145,46 @@ def test_cells_hand_out_spanning_links_only(spark):
     assert sets.count() == 201 and links.count() <= 201
 
 
+def test_sets_that_only_share_a_passage_do_not_travel(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
+    passage = [word() for _ in range(60)]
+    rows = [(i, " ".join([*passage, *(word() for _ in range(90 + i % 7))])) for i in range(200)]
+    rows += [(1000 + i, t + " end") for i, t in rows[:5]]
+    written = []
+    put = Scratch.put_bucketed
+
+    def counted(self, df, *rest):
+        out = put(self, df, *rest)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "put_bucketed", counted)
+    assert classes(J.join(documents(spark, rows), Scratch(spark, "t"), 5, 80)) == brute_classes(rows, 5, 80)
+    assert 10 <= written[0] <= 30
+
+
+@pytest.mark.parametrize("most", [8192, 2])
+def test_possible_keeps_all_linked_sets(spark, monkeypatch, most):
+    monkeypatch.setattr(J, "SKETCHED", most)
+    monkeypatch.setattr(J, "STEP", 1 << 8)
+    rng = np.random.default_rng(most)
+    sets = []
+    for n in (1, 3, 20, 70, 300, 2500):
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        for _ in range(8):
+            cut = int(rng.integers(0, n // 4 + 1))
+            sets.append(np.unique(np.concatenate([base[cut:], rng.integers(0, 2**64, int(rng.integers(0, n // 5 + 2)), dtype=np.uint64)])))
+    sets = [s for s in sets if len(s)]
+    n = np.array([len(s) for s in sets])
+    drawn = J.sketches(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), n)
+    linked = {i for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j and 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))}
+    groups = spark.createDataFrame([(7, i) for i in range(len(sets))], "lead bigint, node bigint")
+    nodes = spark.createDataFrame([(i, int(n[i]), d) for i, d in enumerate(drawn)], "node bigint, n bigint, sketch binary")
+    found = [r.node for r in J.near_groups(groups, nodes, 80).collect()]
+    assert linked <= set(found) and len(found) == len(set(found)) < len(sets)
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_join_awkward(spark, empty):
     docs = awkward(spark).limit(0) if empty else awkward(spark)
