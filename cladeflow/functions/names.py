@@ -23,6 +23,21 @@ def member_bound(member: Column, which: int) -> Column:
     return F.when(member.rlike(REGION), F.regexp_extract(member, REGION, 1 + which))
 
 
+def region(member: Column) -> tuple[Column, Column, Column]:
+    """Start and end of a member's region, and whether it has one; the bounds mean nothing where it has none.
+
+    The same as ``member_bound`` reads: digits, dash, digits after the last slash, something before it.
+    """
+    last = F.substring_index(member, "/", -1)
+    sliced = (F.octet_length(last) + 1 < F.octet_length(member)) & last.rlike("^[0-9]+-[0-9]+\\z")
+    return F.substring_index(last, "-", 1).try_cast("bigint"), F.substring_index(last, "-", -1).try_cast("bigint"), sliced
+
+
+def before_region(member: Column) -> Column:
+    """Protein of a member that has a region."""
+    return F.left(member, F.length(member) - F.length(F.substring_index(member, "/", -1)) - 1)
+
+
 def slice_of(name: Column, length: Column) -> Column:
     """``struct(protein, start)`` of a record that is a slice of exactly ``length`` residues, else null."""
 

@@ -14,9 +14,9 @@ from cladeflow.runtime import table
 QLEN, SHARE = 15, 0.9
 
 
-def _member_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _member_names(spark: SparkSession, sf_dir: str, marks: str = "FGH") -> DataFrame:
     name = F.when(F.col("start").isNull(), F.col("protein")).otherwise(F.concat("protein", F.lit("/"), "start", F.lit("-"), "end"))
-    return members(spark, sf_dir).select("family", name.alias("member"))
+    return members(spark, sf_dir, marks).select("family", name.alias("member"))
 
 
 def split_member(spark: SparkSession, sf_dir: str) -> DataFrame:

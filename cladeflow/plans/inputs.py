@@ -28,9 +28,9 @@ def _written(rows: DataFrame, scratch: Scratch, name: str, **options: str) -> st
 def read_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Member tables in two folders, one of them gzipped, the other with carriage returns and blank lines."""
     scratch = Scratch(spark, "read-members")
-    line = _member_names(spark, sf_dir).select("family", F.concat("family", F.lit("\t"), "member").alias("line"))
-    first = _written(line.where("family < 'G'").select("line"), scratch, "first", compression="gzip")
-    rest = line.where("family >= 'G'").select(F.concat("line", F.lit("\r\n")).alias("line"))
+    line = F.concat("family", F.lit("\t"), "member")
+    first = _written(_member_names(spark, sf_dir, "F").select(line.alias("line")), scratch, "first", compression="gzip")
+    rest = _member_names(spark, sf_dir, "GH").select(F.concat(line, F.lit("\r\n")).alias("line"))
     good, faults = T.members(spark, [first, _written(rest, scratch, "rest")])
     T.require(faults)
     zero = F.lit(0).cast("bigint")

@@ -64,8 +64,11 @@ def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey")).alias("protein"), F.expr("cast(150 + 3 * p_size as bigint)").alias("length"))
 
 
-def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``family, protein, start, end``; bounds are null for whole proteins."""
+def members(spark: SparkSession, sf_dir: str, marks: str = "FGH") -> DataFrame:
+    """``family, protein, start, end`` of the families with these marks; bounds are null for whole proteins.
+
+    Lines meet parts once, whatever the number of marks.
+    """
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     base = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.expr(f"l_suppkey % {GROUPS}").alias("k"),
@@ -78,9 +81,13 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("bigint").alias("q"),
     )
     start, end = F.when(~F.col("bare"), F.col("s0")), F.when(~F.col("bare"), F.least("len", F.col("s0") + F.col("q")))
-    one = lambda df, mark, s, e: df.select(F.concat(F.lit(mark), F.col("k")).alias("family"), "protein", s.alias("start"), e.alias("end"))
-    h = one(base.where("l_discount > 0.005"), "H", F.col("s0") + 3, F.least("len", F.col("s0") + 3 + F.col("q")))
-    return one(base, "F", start, end).unionByName(one(base.where("l_tax > 0.005"), "G", start, end)).unionByName(h)
+    one = lambda mark, s, e: F.struct(F.concat(F.lit(mark), F.col("k")).alias("family"), F.col("protein"), s.alias("start"), e.alias("end"))
+    each = {
+        "F": one("F", start, end),
+        "G": F.when(F.col("l_tax") > 0.005, one("G", start, end)),
+        "H": F.when(F.col("l_discount") > 0.005, one("H", F.col("s0") + 3, F.least("len", F.col("s0") + 3 + F.col("q")))),
+    }
+    return base.select(F.inline(F.array_compact(F.array(*(each[m] for m in marks)))))
 
 
 # Hits: suppliers' groups as query models, parts as database records, prices as scores.

@@ -66,7 +66,7 @@ def by_content(spark: SparkSession, paths: str | list[str]) -> list[str]:
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Lines ended by line feeds only, without trailing carriage returns; gzip by its first bytes."""
     raw = spark.read.option("lineSep", "\n").text(by_content(spark, paths))
-    return raw.select(F.regexp_replace("value", "[\\r\\n]+\\z", "").alias("line"))
+    return raw.select(F.rtrim(F.col("value"), F.lit("\r\n")).alias("line"))
 
 
 def members(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
@@ -76,19 +76,20 @@ def members(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, Dat
 
 def parse_members(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows and faults of member lines; works on streams as well, as no row depends on another."""
-    rows = rows.where("line <> ''")
-    field = F.split("line", "\t", -1)
-    rows = rows.select("line", F.size(field).alias("n"), F.get(field, F.lit(0)).alias("family"), F.get(field, F.lit(1)).alias("member"))
-    bound = lambda k: N.member_bound(F.col("member"), k).try_cast("bigint")
-    rows = rows.withColumn("sliced", F.col("member").rlike(N.REGION)).withColumn("start", bound(1)).withColumn("end", bound(2))
+    rows = rows.where("line <> ''").select("line", F.substring_index("line", "\t", 1).alias("family"), F.substring_index("line", "\t", -1).alias("member"))
+    start, end, sliced = N.region(F.col("member"))
+    rows = rows.select("line", "family", "member", start.alias("start"), end.alias("end"), sliced.alias("sliced"))
+    two = F.octet_length("family") + F.octet_length("member") + 1 == F.octet_length("line")  # not so without a tab, or with more
     in_range = (F.col("start") >= 1) & (F.col("start") <= F.col("end")) & (F.col("end") <= LIMIT)
     fault = (
-        F.when((F.col("n") != 2) | (F.col("family") == "") | (F.coalesce("member", F.lit("")) == ""), "expected two tab-separated fields")
+        F.when(~two | (F.col("family") == "") | (F.col("member") == ""), "expected two tab-separated fields")
         .when(~F.col("family").rlike(FAMILY) | F.col("family").isin(".", ".."), "unsafe family name")
         .when(F.col("sliced") & ~F.coalesce(in_range, F.lit(False)), f"region outside 1..{LIMIT}")
     )
-    rows = rows.withColumn("fault", fault)
-    good = rows.where("fault is null").select("family", N.member_protein(F.col("member")).alias("protein"), "start", "end")
+    # filters stay above a generator: below, they would repeat all that they rest on, in code too long to be compiled
+    rows = rows.select("line", "family", "member", "start", "end", "sliced", F.explode(F.array(fault)).alias("fault"))
+    protein = F.when(F.col("sliced"), N.before_region(F.col("member"))).otherwise(F.col("member"))
+    good = rows.where("fault is null").select("family", protein.alias("protein"), *(F.when(F.col("sliced"), F.col(c)).alias(c) for c in ("start", "end")))
     return good, rows.where("fault is not null").select("fault", "line")
 
 
